@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, simhash, toxicity
+from . import bpe, langid, linedup, quality, simhash, toxicity
 from .common import crc_mod, read_table
 
 
@@ -17,6 +17,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, labels)).select("doc_id", "held_out", "score", "predicted", F.size("evidence").alias("n_evidence"))
 
 
+def op4_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linedup.dedupe_lines(docs).select("doc_id", "n_removed", "n_links", F.length("text").cast("bigint").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -48,6 +53,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op4_linedup": op4_linedup,
     "op5_bpe": op5_bpe,
     "op7_simhash": op7_simhash,
     "op8_langid": op8_langid,
