@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, linedup, quality, simhash, toxicity
+from . import bpe, langid, linedup, quality, simhash, substring, toxicity
 from .common import crc_mod, read_table
 
 
@@ -34,6 +34,16 @@ def op5_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
     return bpe.digests(bpe.decode(bpe.encode(docs, path).drop("text"), path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = substring.dedupe(docs)
+
+    def total(spans: str):
+        return F.aggregate(spans, F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["begin"])
+
+    return found.select("doc_id", (F.size("shared_spans") > 0).alias("has_repeat"), F.size("removed_spans").alias("n_spans"), total("shared_spans").alias("shared_bytes"), total("removed_spans").alias("removed_bytes"), F.sha2("deduped", 256).alias("kept_sha256"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -55,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op4_linedup": op4_linedup,
     "op5_bpe": op5_bpe,
+    "op6_substring": op6_substring,
     "op7_simhash": op7_simhash,
     "op8_langid": op8_langid,
     "op10_quality": op10_quality,
