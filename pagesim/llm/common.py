@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: One word: a run of anything but ASCII white space.
@@ -49,6 +49,15 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def labelled_sample(rows: DataFrame, label: str, per_label: int, by: list[str]) -> DataFrame:
+    """Up to per_label rows of each label: those with the least hash of `by`, whatever the order of the input.
+
+    Each task keeps per_label rows of a label before anything moves, so a label that most rows have does no harm.
+    """
+    order = Window.partitionBy(label).orderBy(F.xxhash64(*by), *[F.col(c) for c in by])
+    return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_label).drop("_rank")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, component), component the smallest node.
 

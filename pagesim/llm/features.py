@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1_500_000
@@ -61,15 +61,6 @@ def column_texts(batch: pa.RecordBatch, name: str) -> Iterator[str | None]:
     return (x.as_py() for x in batch.column(batch.schema.get_field_index(name)))
 
 
-def labelled_sample(rows: DataFrame, label: str, per_label: int, by: list[str]) -> DataFrame:
-    """Up to per_label rows of each label: those with the least hash of `by`, whatever the order of the input.
-
-    Each task keeps per_label rows of a label before anything moves, so a label that most rows have does no harm.
-    """
-    order = Window.partitionBy(label).orderBy(F.xxhash64(*by), *[F.col(c) for c in by])
-    return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_label).drop("_rank")
-
-
 def half(key: Column) -> Column:
     """0 or 1 for each row, by hash."""
     return F.pmod(F.xxhash64(key, F.lit("half")), F.lit(2)).cast("int")

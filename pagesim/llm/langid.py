@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .features import blocks, column_texts, counts, doc_ngrams, labelled_sample
+from .common import labelled_sample
+from .features import blocks, column_texts, counts, doc_ngrams
 
 BITS, NGRAM = 13, 3
 _LETTER = regex.compile(r"\p{L}").search

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .features import blocks, column_texts, counts, doc_ngrams, half, labelled_sample
+from .common import labelled_sample
+from .features import blocks, column_texts, counts, doc_ngrams, half
 
 WORD_BITS, GRAM_BITS, NGRAM, WINDOW = 12, 13, 3, 8
 FEATURES = (1 << WORD_BITS) + (1 << GRAM_BITS)

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .features import column_texts, half, labelled_sample
+from .common import labelled_sample
+from .features import column_texts, half
 
 #: Terms are words without the marks around them and, for unseen forms of a stem, word beginnings of these lengths.
 STEMS, BLOCK, NEIGHBOURS = (3, 4, 5, 6, 7, 8), 64, 15
