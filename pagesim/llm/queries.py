@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, linedup, quality, simhash, substring, toxicity
-from .common import crc_mod, read_table
+from . import bpe, langid, linedup, mixing, quality, simhash, substring, toxicity
+from .common import crc_mod, read_table, written
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,22 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, labels)).select("doc_id", "held_out", "score", "predicted", F.size("evidence").alias("n_evidence"))
 
 
+#: Domains from the labels, and the share of all tokens that each is to have.
+MIX_TARGETS = {"good": 0.92, "poor": 0.06, "toxic": 0.02}
+
+
+def domain_labels(labels: DataFrame) -> DataFrame:
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor").alias("domain"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = mixing.train(docs, domain_labels(read_table(spark, sf_dir, "labels")))
+    members = written(mixing.posteriors(docs, model).drop("text"), "members")
+    rated = mixing.fit_rates(members, MIX_TARGETS)
+    return rated.withColumn("copies", mixing.copies(F.col("rate"), F.col("doc_id")))
+
+
 def op4_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return linedup.dedupe_lines(docs).select("doc_id", "n_removed", "n_links", F.length("text").cast("bigint").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
@@ -63,6 +79,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_mixing": op2_mixing,
     "op4_linedup": op4_linedup,
     "op5_bpe": op5_bpe,
     "op6_substring": op6_substring,
