@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, linedup, mixing, quality, simhash, substring, toxicity
+from . import bpe, langid, linedup, lm, mixing, quality, simhash, substring, toxicity
 from .common import crc_mod, read_table, written
 
 
@@ -33,6 +33,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.withColumn("copies", mixing.copies(F.col("rate"), F.col("doc_id")))
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", crc_mod(F.col("doc_id"), 7) == 2)
+    model, counts = lm.train(docs.where("not held_out"))
+    return lm.score(docs, model, counts)
+
+
 def op4_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return linedup.dedupe_lines(docs).select("doc_id", "n_removed", "n_links", F.length("text").cast("bigint").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
@@ -80,6 +86,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
+    "op3_lm": op3_lm,
     "op4_linedup": op4_linedup,
     "op5_bpe": op5_bpe,
     "op6_substring": op6_substring,
