@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import io
+import wave
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, linedup, lm, mixing, quality, simhash, substring, toxicity
+from . import bpe, langid, linedup, lm, media, mixing, quality, simhash, substring, toxicity
 from .common import crc_mod, read_table, written
 
 
@@ -77,6 +81,40 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def _played(vector: list[float] | None, note: int = 256) -> bytes | None:
+    """A WAV file that plays each component of a vector as a tone: within two octaves from 220 Hz, by its size."""
+    if vector is None:
+        return None
+    pitch = np.floor(np.clip(np.nan_to_num(np.asarray([v or 0.0 for v in vector])) * 32 + 12, 0, 23))
+    hz = np.repeat(220 * 2 ** (pitch / 12), note)
+    x = np.sin(2 * np.pi * np.cumsum(hz) / media.RATE)
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(media.RATE)
+        w.writeframes((x * 20000).astype("<i2").tobytes())
+    return out.getvalue()
+
+
+def recordings(embeddings: DataFrame) -> DataFrame:
+    """media_id and audio: each vector of the table as a recording, a few rows a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 128):
+                part = batch.slice(at, 128)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array((_played(x.as_py()) for x in part.column(1)), pa.binary())], names=["media_id", "audio"])
+
+    return embeddings.select(F.col("vec_id").alias("media_id"), "embedding").mapInArrow(run, "media_id bigint, audio binary")
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    audio = recordings(read_table(spark, sf_dir, "embeddings"))
+    marked = written(media.with_fingerprint(audio), "fingerprints")
+    return media.align(marked).withColumnRenamed("media_id", "vec_id")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, read_table(spark, sf_dir, "labels"))
@@ -92,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring": op6_substring,
     "op7_simhash": op7_simhash,
     "op8_langid": op8_langid,
+    "op9_media": op9_media,
     "op10_quality": op10_quality,
 }
 

@@ -86,3 +86,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     joined = nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     return marked.join(joined.select("fp", "component").join(smallest, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = 3) -> DataFrame:
+    """The rows of docs whose id is the smallest of its near-duplicate group; all columns stay.
+
+    Of repeated rows with that id one stays. Rows without an id stay only where their whole group has none, one for
+    each fingerprint text.
+    """
+    found = near_duplicates(docs, doc_id, text, most).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(found, docs[doc_id].eqNullSafe(found["_id"]), "left_semi")
+    return kept.dropDuplicates([doc_id, text])
