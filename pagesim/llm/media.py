@@ -16,6 +16,8 @@ from .common import written
 
 #: Samples of a frame and between frames at RATE samples a second; frames that a packed integer looks at.
 RATE, FRAME, HOP, REACH = 4000, 512, 128, 16
+#: How far behind an integer lies the one whose top byte is part of its key in the index.
+AHEAD = 4
 LOWEST, HIGHEST = 100.0, 1900.0
 #: For each filter its kind, first pitch class, pitch classes and frames. Kinds compare 0: lower with
 #: upper pitch classes, 1: earlier with later frames, 2: the two diagonals of quarters, 3: the middle with both sides.
@@ -105,7 +107,7 @@ def with_fingerprint(media: DataFrame, audio: str = "audio", out: str = "fingerp
     return media.mapInArrow(run, T.StructType([*kept, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
 
-def align(marked: DataFrame, media_id: str = "media_id", least_votes: int = 8, least_overlap: int = 24, most_error: float = 0.25) -> DataFrame:
+def align(marked: DataFrame, media_id: str = "media_id", least_votes: int = 2, least_overlap: int = 24, most_error: float = 0.25) -> DataFrame:
     """One row per row of marked (media_id, fingerprint): class_id, n_links, best_match, offset, bit_error.
 
     Recordings with equal fingerprints are one class, called by its smallest id, and one row from there on. The packed
@@ -117,8 +119,12 @@ def align(marked: DataFrame, media_id: str = "media_id", least_votes: int = 8, l
     rows = marked.select(F.col(media_id).alias("media_id"), "fingerprint", F.xxhash64("fingerprint").alias("print"))
     classes = written(rows.groupBy("print").agg(F.min("media_id").alias("class_id"), F.first("fingerprint").alias("fingerprint")), "classes")
     once = classes.where(F.col("class_id").isNotNull() & (F.size("fingerprint") > 0)).select("class_id", "fingerprint")
-    # an integer that lasts votes for one offset only once: its first place in a run counts
-    runs = once.select("class_id", F.explode(F.filter(F.transform("fingerprint", lambda v, i: F.when((i == 0) | (v != F.get("fingerprint", i - 1)), F.struct(i.alias("at"), v.alias("value")))), lambda x: x.isNotNull())).alias("x")).select("class_id", "x.at", "x.value")
+    # an integer that lasts votes for an offset once only: its first place counts
+    # and the top byte of the one AHEAD places later comes with it, as single integers are too common to look up
+    later = F.slice("fingerprint", AHEAD + 1, F.greatest(F.size("fingerprint") - AHEAD, F.lit(0)))
+    key = F.zip_with(F.slice("fingerprint", 1, F.size(later)), later, lambda v, w: F.shiftleft(v.cast("bigint"), 32).bitwiseOR(F.shiftrightunsigned(w, 24).cast("bigint")))
+    keyed = once.where(F.size("fingerprint") > AHEAD).select("class_id", F.posexplode(key).alias("at", "value"))
+    runs = keyed.groupBy("class_id", "value").agg(F.min("at").alias("at")).select("class_id", "at", "value")
     left, right = runs.toDF("a", "at_a", "value"), runs.toDF("b", "at_b", "value")
     votes = left.join(right, "value").where("a < b").groupBy("a", "b", (F.col("at_b") - F.col("at_a")).alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= least_votes)
     best = votes.groupBy("a", "b").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("x")).select("a", "b", "x.offset")

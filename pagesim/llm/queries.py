@@ -82,10 +82,10 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _played(vector: list[float] | None, note: int = 256) -> bytes | None:
-    """A WAV file that plays each component of a vector as a tone: within two octaves from 220 Hz, by its size."""
+    """A WAV file that plays each component of a vector as a tone: within two octaves from 220 Hz, by its size, over and over."""
     if vector is None:
         return None
-    pitch = np.floor(np.clip(np.nan_to_num(np.asarray([v or 0.0 for v in vector])) * 32 + 12, 0, 23))
+    pitch = np.floor(np.nan_to_num(np.asarray([v or 0.0 for v in vector]), posinf=0, neginf=0) * 64 + 12) % 24
     hz = np.repeat(220 * 2 ** (pitch / 12), note)
     x = np.sin(2 * np.pi * np.cumsum(hz) / media.RATE)
     out = io.BytesIO()
