@@ -27,7 +27,7 @@ from .common import written
 #: counts in each task at most (those of the highest counts; a join finds the others').
 HIDDEN, CLASS, CLASSES, REST, HEAD = 16, 64, 48, 16, 300_000
 #: Words of a training window, windows of a text, rounds of averaging, texts scored side by side, steps of a window.
-SPAN, ROUNDS, LANES, STEPS, BATCH = 24, 3, 384, 32, 96
+SPAN, ROUNDS, LANES, STEPS, BATCH = 24, 3, 768, 64, 96
 END = "\n"  # no word has it
 _FLUSH = 400_000
 
@@ -104,8 +104,17 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _log_chosen(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log-softmax of each row at one place."""
+    with np.errstate(over="ignore"):
+        total = np.exp(x).sum(axis=1)
+    if not np.isfinite(total).all():
+        return _log_softmax(x)[np.arange(len(x)), at]
+    return x[np.arange(len(x)), at] - np.log(total)
+
+
 def _by_class(cls: np.ndarray, classes: int) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(cls, kind="stable")
+    order = np.argsort(cls.astype(np.int16), kind="stable")  # small numbers sort by radix
     bounds = np.searchsorted(cls[order], np.arange(classes + 1))
     for k in range(classes):
         if bounds[k] < bounds[k + 1]:
@@ -116,9 +125,9 @@ def _log_probability(net: Net, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log P of outputs y given states; outputs from the frequent words, or a class of the others."""
     frequent = len(net.w)
     cls = np.where(y < frequent * CLASS, y // CLASS, y - frequent * CLASS + frequent)
-    out = _log_softmax(h @ net.c + net.cb)[np.arange(len(y)), cls].astype(np.float64)
+    out = _log_chosen(h @ net.c + net.cb, cls).astype(np.float64)
     for k, at in _by_class(cls, frequent):
-        out[at] += _log_softmax(h[at] @ net.w[k] + net.wb[k])[np.arange(len(at)), y[at] - k * CLASS]
+        out[at] += _log_chosen(h[at] @ net.w[k] + net.wb[k], y[at] - k * CLASS)
     return out
 
 
@@ -332,16 +341,17 @@ def train(docs: DataFrame, text: str = "text", windows_a_task: int = 6000) -> tu
     return model, counts
 
 
-def _score_block(m: Model, texts: list[list[bytes]]) -> tuple[np.ndarray, ...]:
-    """(known head words, base sum, model sum) of each text, over its head words and end; tail words lack log10(c + 1)."""
+def _score_block(m: Model, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[Counter[bytes]]]:
+    """(known head words, base sum, model sum, tail words) of each text; the sums lack log10(c + 1) of the tail words."""
     base_down = np.log10(m.total + m.types + 1)
     head_log = np.log10(m.counts + 1.0)
     rest_down = np.log10(m.rest_total + m.rest_types + 1.0)
     end, end_number = m.output[m.head[END.encode()]], m.head[END.encode()]
-    known, base, score, outs = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts)), []
+    known, base, score, outs, tails = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts)), [], []
     for k, words in enumerate(texts):
         numbers = m.numbers(words)
         inside = numbers[numbers >= 0]
+        tails.append(Counter(words[i] for i in np.flatnonzero(numbers < 0).tolist()))
         known[k] = len(inside) + 1
         base[k] = head_log[inside].sum() + head_log[end_number] - base_down * (len(words) + 1)
         out = m.outputs(words, numbers)
@@ -372,7 +382,7 @@ def _score_block(m: Model, texts: list[list[bytes]]) -> tuple[np.ndarray, ...]:
                 x = y[:live, t]
             p = _log_probability(m.net, np.concatenate(states), np.concatenate(wanted).astype(np.int64)) / log_10
             score[lanes] += np.bincount(np.concatenate(lane), p, minlength=len(lanes))
-    return known, base, score
+    return known, base, score, tails
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text") -> DataFrame:
@@ -393,8 +403,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text")
         kind = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int32())]))
         for batch in batches:
             texts = [(x.as_py() or "").encode().lower().split() for x in batch.column(batch.schema.get_field_index(text))]
-            known, base, own = _score_block(m, texts)
-            tails = [[{"word": w.decode(), "times": n} for w, n in Counter(w for w in words if w not in m.head).items()] for words in texts]
+            known, base, own, tails = _score_block(m, texts)
+            tails = [[{"word": w.decode(), "times": n} for w, n in t.items()] for t in tails]
             new = [pa.array([len(w) + 1 for w in texts], pa.int64()), pa.array(known), pa.array(base), pa.array(own), pa.array(range(row, row + len(texts)), pa.int64()), pa.array(tails, kind)]
             row += len(texts)
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), *new], names=[*keep, *(f.name for f in added), "_row", "_tail"])
