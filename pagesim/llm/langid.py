@@ -74,7 +74,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[int, np.n
     return int(total[0]), total[1:]
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 300, centroids: int = 4, slack: float = 0.1) -> Model:
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 300, centroids: int = 4, slack: float = 0.4) -> Model:
     """Centroids from rows with a language; rows without language or text teach nothing.
 
     Document frequencies cover all rows; the centroids come from a sample bounded by per_language rows a language.
