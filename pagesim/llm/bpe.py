@@ -227,23 +227,44 @@ def _with(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
 
 
-def encode(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "ids") -> DataFrame:
+class Decoder:
+    def __init__(self, v: Vocabulary):
+        self.flat = np.frombuffer(b"".join(v.pieces), np.uint8)
+        self.sizes = np.fromiter(map(len, v.pieces), np.int64, len(v.pieces))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        """The texts of ids one after the other, `sizes` of them each."""
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(self.sizes):
+            raise ValueError("a token id is outside the vocabulary")
+        raw = gather(self.flat, self.starts[ids], self.sizes[ids]).tobytes()
+        ends = np.concatenate(([0], np.cumsum(self.sizes[ids])))[np.cumsum([0, *sizes])].tolist()
+        return pa.array((raw[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])), pa.string())
+
+
+def _id_lists(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(ids, pa.int32()))
+
+
+def encode(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
     """docs with `out`, the token ids (array of int) of the whole text, as the vocabulary's own library encodes it.
 
     A null or empty text has no ids. The strings of special tokens count as those tokens. Rows and other columns stay
-    as they are, repeated rows too; a column that is already called `out` is replaced.
+    as they are, repeated rows too; a column that is already called `out` is replaced. With `decoded` that column has
+    the text decoded from the ids again, in the same pass.
     """
     v = docs.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary))  # one vocabulary file: some MB whatever the input
-    kept = docs.drop(out)
+    kept = docs.drop(out, *([decoded] if decoded else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(v.value)
+        encoder, decoder = Encoder(v.value), Decoder(v.value)
         for batch, texts in _blocks(batches, text, len):
             ids, sizes = encoder.encode(texts)
-            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            yield _with(batch, out, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32())))
+            done = _with(batch, out, _id_lists(ids, sizes))
+            yield _with(done, decoded, decoder.decode(ids, sizes)) if decoded else done
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
+    added = [T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])]
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *added]))
 
 
 def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -256,18 +277,11 @@ def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decod
     kept = docs.drop(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = v.value.pieces
-        flat = np.frombuffer(b"".join(pieces), np.uint8)
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        starts = np.cumsum(sizes) - sizes
+        decoder = Decoder(v.value)
         for batch, rows in _blocks(batches, ids, lambda x: 3 * len(x)):
             arrays = [np.asarray(x.drop_null(), np.int64) if x is not None else np.empty(0, np.int64) for x in rows]
             every = np.concatenate(arrays) if arrays else np.empty(0, np.int64)
-            if len(every) and not 0 <= every.min() <= every.max() < len(pieces):
-                raise ValueError("a token id is outside the vocabulary")
-            raw = gather(flat, starts[every], sizes[every]).tobytes()
-            ends = np.concatenate(([0], np.cumsum(sizes[every])))[np.cumsum([0, *map(len, arrays)])].tolist()
-            yield _with(batch, out, pa.array((raw[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])), pa.string()))
+            yield _with(batch, out, decoder.decode(every, np.array([len(a) for a in arrays], np.int64)))
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out, T.StringType())]))
 

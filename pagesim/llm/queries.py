@@ -57,7 +57,7 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 def op5_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or vocabulary_path()
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.digests(bpe.decode(bpe.encode(docs, path).drop("text"), path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.digests(bpe.encode(docs, path, decoded="decoded")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,9 +112,11 @@ def test_bpe_equals_the_library(spark, docs):
     fuzz = [(100 + k, "".join(rng.choice(letters) for _ in range(rng.randrange(60)))) for k in range(400)] + [(900, "ab" * 4000), (901, "\0<|endoftext|>")]
     rows = odd_rows() + fuzz
     table = spark.createDataFrame([(i, x, 7) for i, x in rows], SCHEMA + ", ids int")
-    out = bpe.digests(bpe.decode(bpe.encode(table, path), path)).collect()
+    both = bpe.encode(table, path, decoded="again")
+    out = bpe.digests(bpe.decode(both, path)).collect()
     assert len(out) == len(rows)
     for r in out:
+        assert r.again == r.decoded
         ids = t.encode(r.text or "", add_special_tokens=False).ids
         assert r.ids == ids and r.n_tokens == len(ids)
         assert r.decoded == t.decode(ids, skip_special_tokens=False)
