@@ -16,8 +16,8 @@ from .common import written
 
 #: Samples of a frame and between frames at RATE samples a second; frames that a packed integer looks at.
 RATE, FRAME, HOP, REACH = 4000, 512, 128, 16
-#: How far behind an integer lies the one whose top byte is part of its key in the index.
-AHEAD = 4
+#: How far behind an integer lie the two whose top byte and top four bits are part of its key in the index.
+AHEAD = (4, REACH)
 LOWEST, HIGHEST = 100.0, 1900.0
 #: For each filter its kind, first pitch class, pitch classes and frames. Kinds compare 0: lower with
 #: upper pitch classes, 1: earlier with later frames, 2: the two diagonals of quarters, 3: the middle with both sides.
@@ -120,10 +120,11 @@ def align(marked: DataFrame, media_id: str = "media_id", least_votes: int = 2, l
     classes = written(rows.groupBy("print").agg(F.min("media_id").alias("class_id"), F.first("fingerprint").alias("fingerprint")), "classes")
     once = classes.where(F.col("class_id").isNotNull() & (F.size("fingerprint") > 0)).select("class_id", "fingerprint")
     # an integer that lasts votes for an offset once only: its first place counts
-    # and the top byte of the one AHEAD places later comes with it, as single integers are too common to look up
-    later = F.slice("fingerprint", AHEAD + 1, F.greatest(F.size("fingerprint") - AHEAD, F.lit(0)))
-    key = F.zip_with(F.slice("fingerprint", 1, F.size(later)), later, lambda v, w: F.shiftleft(v.cast("bigint"), 32).bitwiseOR(F.shiftrightunsigned(w, 24).cast("bigint")))
-    keyed = once.where(F.size("fingerprint") > AHEAD).select("class_id", F.posexplode(key).alias("at", "value"))
+    # and the top bits of the two AHEAD places later come with it, as single integers are too common to look up
+    near, far = (F.slice("fingerprint", k + 1, F.greatest(F.size("fingerprint") - AHEAD[1], F.lit(0))) for k in AHEAD)
+    context = F.zip_with(near, far, lambda v, w: F.shiftleft(F.shiftrightunsigned(v, 24), 4).bitwiseOR(F.shiftrightunsigned(w, 28)))
+    key = F.zip_with(F.slice("fingerprint", 1, F.size(context)), context, lambda v, c: F.shiftleft(v.cast("bigint"), 32).bitwiseOR(c.cast("bigint")))
+    keyed = once.where(F.size("fingerprint") > AHEAD[1]).select("class_id", F.posexplode(key).alias("at", "value"))
     runs = keyed.groupBy("class_id", "value").agg(F.min("at").alias("at")).select("class_id", "at", "value")
     left, right = runs.toDF("a", "at_a", "value"), runs.toDF("b", "at_b", "value")
     votes = left.join(right, "value").where("a < b").groupBy("a", "b", (F.col("at_b") - F.col("at_a")).alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= least_votes)
