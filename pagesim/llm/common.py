@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 #: One word: a run of anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPACE_PATTERN = r"[\x20\x09-\x0D]+"
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -28,19 +27,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
+def written(df: DataFrame, name: str = "table", tidy: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and a lost executor costs nothing before it.
 
-    Nothing reads the shuffle files of the plan again once the table is there, so they go at once.
+    With `tidy` Spark is asked to drop the shuffle files of plans that are done, as nothing reads them again; it does so
+    when the driver collects its garbage, which otherwise may take until the end.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    df.write.parquet(path)
+    if tidy:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
