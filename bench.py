@@ -30,7 +30,7 @@ def main() -> None:
         return classify.classified(pairs.score_pairs(own), texts=False)
 
     timed = {"pairs_classified": audit}
-    for name in ("page_fingerprints", "link_extract", "term_frequency", "jaccard_prefix_pairs", "exact_duplicate_groups", "document_trigrams", "block_document_frequency"):
+    for name in ("page_fingerprints", "link_extract", "term_frequency", "exact_duplicate_groups", "document_trigrams", "block_document_frequency"):
         timed[name] = lambda f=queries.QUERIES[name]: f(spark, SF_DIR)
     pages.limit(5).write.format("noop").mode("overwrite").save()
     took = {}
