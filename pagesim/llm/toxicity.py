@@ -34,12 +34,12 @@ def _terms_of_words(words: Iterable[str]) -> Iterator[str]:
 class _Telling(dict):
     """The terms of each word, those of `only` if given, worked out once."""
 
-    def __init__(self, only: set[str] | None = None):
+    def __init__(self, only: set[str] | None = None, limit: int = 5 * REMEMBERED):
         super().__init__()
-        self.only = only
+        self.only, self.limit = only, limit
 
     def __missing__(self, word: str) -> tuple[str, ...]:
-        if len(self) > REMEMBERED * 5:
+        if len(self) > self.limit:
             self.clear()
         t = self[word] = tuple(x for x in _terms_of_words((word,)) if self.only is None or x in self.only)
         return t
@@ -58,20 +58,29 @@ def terms(text: str | None, telling: _Telling) -> Counter[str]:
     return found
 
 
-def telling_terms(of: list[set[str]], y: np.ndarray, at_most: int = 4000, least: float = 40.0) -> dict[str, int]:
-    """Numbers of the terms whose presence tells the labels apart: the largest G statistics with a lift over 4."""
+def telling_terms(texts: list[str | None], y: np.ndarray, at_most: int = 4000, least: float = 40.0) -> dict[str, int]:
+    """Numbers of the terms whose presence tells the labels apart: the largest G statistics with a lift over 4.
+
+    Texts are taken apart one at a time, and of label 0 only the terms count that label 1 has often enough.
+    """
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
+    telling = _Telling(limit=20_000)
     with1: Counter[str] = Counter()
+    for text, label in zip(texts, y):
+        if label:
+            with1.update(terms(text, telling).keys())
+    with1 = Counter({t: a for t, a in with1.items() if a >= 5})
     with0: Counter[str] = Counter()
-    for s, label in zip(of, y):
-        (with1 if label else with0).update(s)
+    for text, label in zip(texts, y):
+        if not label:
+            with0.update(t for t in terms(text, telling) if t in with1)
 
     def g(a: int, b: int) -> float:
         share = (a + b) / (n1 + n0)
         cells = ((a, n1 * share), (b, n0 * share), (n1 - a, n1 * (1 - share)), (n0 - b, n0 * (1 - share)))
         return 2 * sum(o * np.log(o / e) for o, e in cells if o)
 
-    scored = [(g(a, with0[t]), t) for t, a in with1.items() if a >= 5 and a * n0 > 4 * (with0[t] + 0.5) * n1]
+    scored = [(g(a, with0[t]), t) for t, a in with1.items() if a * n0 > 4 * (with0[t] + 0.5) * n1]
     return {t: k for k, (_, t) in enumerate(sorted((x for x in scored if x[0] >= least), key=lambda x: (-x[0], x[1]))[:at_most])}
 
 
@@ -180,14 +189,15 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     rows.sort(key=lambda r: (r.doc_id, r.text or ""))
     once = {r.text or "": r for r in reversed(rows)}  # copies would vote, and tell terms, many times
     rows = [r for r in rows if once.get(r.text or "") is r]
-    telling = _Telling()
-    own = [terms(r.text, telling) for r in rows]
     y = np.array([r.y for r in rows], np.int64)
-    numbers = telling_terms([set(x) for x in own], y)
+    numbers = telling_terms([r.text for r in rows], y)
+    plain = {t.split(" ")[0] for t in numbers}
+    telling = _Telling(plain)
+    own = [terms(r.text, telling) for r in rows]
     n, df = document_frequencies(every, numbers)
     indexed = [k for k, r in enumerate(rows) if r.part == 0]
     share = float(y.mean()) if len(y) else 0.5
-    index = Index(numbers, np.log((1 + n) / (1 + df)) + 1, y[indexed], np.array([rows[k].doc_id for k in indexed], np.int64), share, {t.split(" ")[0] for t in numbers})
+    index = Index(numbers, np.log((1 + n) / (1 + df)) + 1, y[indexed], np.array([rows[k].doc_id for k in indexed], np.int64), share, plain)
     index.add([index.vector(own[k]) for k in indexed])
     rest = [k for k, r in enumerate(rows) if r.part == 1]
     votes = np.array([index.vote(*index.nearest(*index.vector(own[k]))) for k in rest])
