@@ -1 +1 @@
-
+"""Operators on tables of pages, links, rules and pairs."""

@@ -1 +1 @@
-
+"""Whole runs made of operators."""

@@ -1 +1 @@
-
+"""Where pages and plans come from."""

@@ -1 +1 @@
-
+"""Pages and events as streams."""
