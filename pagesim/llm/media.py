@@ -16,8 +16,10 @@ from .common import written
 
 #: Samples of a frame and between frames at RATE samples a second; frames that a packed integer looks at.
 RATE, FRAME, HOP, REACH = 4000, 512, 128, 16
-#: How far behind an integer lie the two whose top byte and top four bits are part of its key in the index.
-AHEAD = (4, REACH)
+#: A key of the index is one byte of an integer and the same byte of those so far behind it; each of the four bytes has keys.
+AHEAD, BANDS = (8, 16), (0, 8, 16, 24)
+#: Integers of a block of classes, about; votes that a task holds at once.
+BLOCK, VOTES = 1 << 19, 1 << 21
 LOWEST, HIGHEST = 100.0, 1900.0
 #: For each filter its kind, first pitch class, pitch classes and frames. Kinds compare 0: lower with
 #: upper pitch classes, 1: earlier with later frames, 2: the two diagonals of quarters, 3: the middle with both sides.
@@ -107,34 +109,114 @@ def with_fingerprint(media: DataFrame, audio: str = "audio", out: str = "fingerp
     return media.mapInArrow(run, T.StructType([*kept, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
 
+def _keys(flat: np.ndarray, owner: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places in flat, keys) of one band; owner tells the recordings apart."""
+    reach = AHEAD[-1]
+    at = np.flatnonzero(owner[:-reach] == owner[reach:]) if len(flat) > reach else np.empty(0, np.int64)
+    key = np.zeros(len(at), np.uint32)
+    for k in (0, *AHEAD):
+        key = key << np.uint32(8) | flat[at + k] >> np.uint32(band) & np.uint32(255)
+    return at, key
+
+
+def _offsets(flat: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, least_votes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, offset) with least_votes or more, of recordings a < b of which one is in `left`, the other in `right` (masks)."""
+    n, pad = len(size), int(size.max())
+    start = np.cumsum(size) - size
+    owner = np.repeat(np.arange(n), size)
+    place = np.arange(len(flat)) - start[owner]
+    room = 2 * pad + 1  # of offsets
+    own, other = [], []  # postings: of left their places, of right where their equals are
+    lists = []
+    for band in BANDS:
+        at, key = _keys(flat, owner, band)
+        l, r = left[owner[at]], right[owner[at]]
+        order = np.argsort(key[r], kind="stable")
+        there = key[r][order]
+        begin, end = np.searchsorted(there, key[l], "left"), np.searchsorted(there, key[l], "right")
+        own.append(at[l])
+        other.append(np.stack((begin, end)) + sum(map(len, lists)))
+        lists.append(at[r][order])
+    own, (begin, end), lists = np.concatenate(own), np.concatenate(other, axis=1), np.concatenate(lists)
+    order = np.argsort(own, kind="stable")
+    own, begin, end = own[order], begin[order], end[order]
+    total = np.concatenate(([0], np.cumsum(end - begin)))
+    code, votes, k = np.empty(0, np.int64), np.empty(0, np.int64), 0
+    while k < len(own):
+        m = max(k + 1, int(np.searchsorted(total, total[k] + VOTES, "right")) - 1)
+        count = (end - begin)[k:m]
+        p = np.repeat(own[k:m], count)
+        q = lists[np.arange(total[m] - total[k]) - np.repeat(total[k:m] - total[k] - begin[k:m], count)]
+        keep = owner[p] < owner[q] if left is right else owner[p] != owner[q]
+        p, q = p[keep], q[keep]
+        more, n_more = np.unique((owner[p] * n + owner[q]) * room + place[q] - place[p] + pad, return_counts=True)
+        code, back = np.unique(np.concatenate((code, more)), return_inverse=True)
+        votes = np.bincount(back, np.concatenate((votes, n_more)), len(code)).astype(np.int64)
+        done = len(code) if m == len(own) else int(np.searchsorted(code, owner[own[m]] * n * room))  # the last one's votes go on
+        enough = code[:done][votes[:done] >= least_votes]
+        code, votes, k = code[done:], votes[done:], m
+        a, b, offset = enough // room // n, enough // room % n, enough % room - pad
+        yield np.minimum(a, b), np.maximum(a, b), np.where(a < b, offset, -offset)
+
+
+def _links(flat: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, offset: np.ndarray, least_overlap: int, most_error: float) -> tuple[np.ndarray, ...]:
+    """(a, b, offset, bit_error) of the overlaps that link."""
+    start = np.cumsum(size) - size
+    begin, overlap = np.maximum(0, -offset), np.minimum(size[a], size[b] - offset) - np.maximum(0, -offset)
+    x, y = start[a] + begin, start[b] + begin + offset
+    long = np.flatnonzero(overlap >= least_overlap)
+    wrong = np.zeros(len(a))
+    total = np.concatenate(([0], np.cumsum(overlap[long])))
+    k = 0
+    while k < len(long):
+        m = max(k + 1, int(np.searchsorted(total, total[k] + VOTES, "right")) - 1)
+        w = overlap[long[k:m]]
+        within = np.arange(total[m] - total[k]) - np.repeat(total[k:m] - total[k], w)
+        bits = np.bitwise_count(flat[np.repeat(x[long[k:m]], w) + within] ^ flat[np.repeat(y[long[k:m]], w) + within])
+        wrong[long[k:m]] = np.add.reduceat(bits, total[k:m] - total[k], dtype=np.int64)
+        k = m
+    error = wrong[long] / (overlap[long] * 32.0)
+    near = long[error <= most_error]
+    return a[near], b[near], offset[near], error[error <= most_error]
+
+
 def align(marked: DataFrame, media_id: str = "media_id", least_votes: int = 2, least_overlap: int = 24, most_error: float = 0.25) -> DataFrame:
     """One row per row of marked (media_id, fingerprint): class_id, n_links, best_match, offset, bit_error.
 
-    Recordings with equal fingerprints are one class, called by its smallest id, and one row from there on. The packed
-    integers of two classes that agree vote for the offset between them; the offset with the most votes (ties: the
-    smallest shift) is tried if it has least_votes, and links the classes if they overlap in least_overlap integers of
-    which at most most_error of the bits differ. n_links counts linked classes, best_match is the one with the fewest
-    errors (ties: the smallest id). Empty fingerprints link with nothing; a null id takes part if its class has an id.
+    Recordings with equal fingerprints are one class, called by its smallest id, and one row from there on. Places of two
+    classes whose keys agree vote for the offset between them, each place and each of the four BANDS. All offsets with
+    least_votes are tried; one links the classes if they overlap in least_overlap integers of which at most most_error
+    of the bits differ, and the one with the fewest errors counts (ties: the smallest shift, then the smallest offset).
+    n_links counts linked classes, best_match is the one with the fewest errors (ties: the smallest id). Empty
+    fingerprints link with nothing; a null id takes part if its class has an id.
+
+    Classes are dealt into blocks and each pair of blocks is one task, so votes are counted and tried where they arise,
+    and no common key becomes a hot one. A link whose bits differ too evenly for two keys to agree is not found.
     """
     rows = marked.select(F.col(media_id).alias("media_id"), "fingerprint", F.xxhash64("fingerprint").alias("print"))
     classes = written(rows.groupBy("print").agg(F.min("media_id").alias("class_id"), F.first("fingerprint").alias("fingerprint")), "classes")
     once = classes.where(F.col("class_id").isNotNull() & (F.size("fingerprint") > 0)).select("class_id", "fingerprint")
-    # an integer that lasts votes for an offset once only: its first place counts
-    # and the top bits of the two AHEAD places later come with it, as single integers are too common to look up
-    near, far = (F.slice("fingerprint", k + 1, F.greatest(F.size("fingerprint") - AHEAD[1], F.lit(0))) for k in AHEAD)
-    context = F.zip_with(near, far, lambda v, w: F.shiftleft(F.shiftrightunsigned(v, 24), 4).bitwiseOR(F.shiftrightunsigned(w, 28)))
-    key = F.zip_with(F.slice("fingerprint", 1, F.size(context)), context, lambda v, c: F.shiftleft(v.cast("bigint"), 32).bitwiseOR(c.cast("bigint")))
-    keyed = once.where(F.size("fingerprint") > AHEAD[1]).select("class_id", F.posexplode(key).alias("at", "value"))
-    runs = keyed.groupBy("class_id", "value").agg(F.min("at").alias("at")).select("class_id", "at", "value")
-    left, right = runs.toDF("a", "at_a", "value"), runs.toDF("b", "at_b", "value")
-    votes = left.join(right, "value").where("a < b").groupBy("a", "b", (F.col("at_b") - F.col("at_a")).alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= least_votes)
-    best = votes.groupBy("a", "b").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("x")).select("a", "b", "x.offset")
-    both = best.join(once.toDF("a", "x"), "a").join(once.toDF("b", "y"), "b")
-    begin, end = F.greatest(F.lit(0), -F.col("offset")), F.least(F.size("x"), F.size("y") - F.col("offset"))
-    x, y = F.slice("x", begin + 1, F.greatest(end - begin, F.lit(0))), F.slice("y", begin + F.col("offset") + 1, F.greatest(end - begin, F.lit(0)))
-    wrong = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-    tried = both.select("a", "b", "offset", (end - begin).alias("overlap"), wrong.alias("wrong")).where(F.col("overlap") >= least_overlap)
-    links = written(tried.withColumn("bit_error", F.col("wrong") / (F.col("overlap") * 32.0)).where(F.col("bit_error") <= most_error).select("a", "b", "offset", "bit_error"), "links")
+    blocks = max(1, -(-(once.agg(F.sum(F.size("fingerprint"))).first()[0] or 0) // BLOCK))
+    dealt = once.withColumn("own", F.pmod(F.xxhash64("class_id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class_id", "fingerprint")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("class_id").combine_chunks()
+        prints = table.column("fingerprint").combine_chunks()
+        flat, size = np.asarray(prints.flatten()).view(np.uint32), np.asarray(prints.value_lengths()).astype(np.int64)
+        own, i, j = np.asarray(table.column("own")), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        left = own == i
+        found = [_links(flat, size, *x, least_overlap, most_error) for x in _offsets(flat, size, left, left if i == j else own == j, least_votes)]
+        a, b, offset, error = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 4
+        order = np.lexsort((offset, np.abs(offset), error, b, a))
+        a, b, offset, error = a[order], b[order], offset[order], error[order]
+        first = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)]
+        ids = table.column("class_id").combine_chunks()
+        return pa.table({"a": ids.take(pa.array(a[first], pa.int64())), "b": ids.take(pa.array(b[first], pa.int64())), "offset": pa.array(offset[first], pa.int32()), "bit_error": pa.array(error[first], pa.float64())})
+
+    kind = once.schema["class_id"].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("offset", T.IntegerType()), T.StructField("bit_error", T.DoubleType())])
+    links = written(dealt.groupBy("i", "j").applyInArrow(run, schema), "links")
     ends = links.union(links.select("b", "a", -F.col("offset"), "bit_error")).toDF("class_id", "other", "offset", "bit_error")
     own = ends.groupBy("class_id").agg(F.count("*").alias("n_links"), F.min(F.struct("bit_error", "other", "offset")).alias("x"))
     known = classes.select("print", "class_id").join(own, "class_id", "left")

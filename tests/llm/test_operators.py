@@ -423,6 +423,15 @@ def test_media_aligns_shifted_and_noisy_recordings(spark):
     assert got[502].class_id == 0 and got[None].class_id == 3 and got[500].n_prints == got[501].n_prints == 0 and got[500].n_links == 0
 
 
+def test_media_links_at_a_repeated_passage(spark):
+    """The beginning of a passage comes twice in one recording: each place votes and each offset is tried."""
+    notes = np.random.default_rng(6).integers(-(1 << 31), 1 << 31, 140).astype(int).tolist()
+    part, tail, between = notes[:40], notes[40:80], notes[80:]
+    rows = [(1, part + tail), (2, part[:36] + between + part + tail[:5])]
+    got = {r.media_id: r for r in media.align(spark.createDataFrame(rows, "media_id bigint, fingerprint array<int>")).collect()}
+    assert (got[1].best_match, got[1].offset, got[1].bit_error) == (2, 96, 0.0)
+
+
 def test_media_on_short_and_silent_audio():
     assert len(media.fingerprint(bytes(_wav(np.zeros(300))))) == 0
     assert len(media.fingerprint(bytes(_wav(np.zeros(media.FRAME + 20 * media.HOP))))) == 6
