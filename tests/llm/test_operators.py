@@ -423,6 +423,26 @@ def test_media_aligns_shifted_and_noisy_recordings(spark):
     assert got[502].class_id == 0 and got[None].class_id == 3 and got[500].n_prints == got[501].n_prints == 0 and got[500].n_links == 0
 
 
+def test_media_finds_what_brute_force_finds(spark):
+    """The query's own recordings and close copies, against all offsets of all pairs."""
+    rng = np.random.default_rng(4)
+    some = [r.embedding for r in spark.read.parquet(f"{SF}/embeddings.parquet").where("embedding is not null").orderBy("vec_id").limit(120).collect()]
+    rows = [(k, list(map(float, v))) for k, v in enumerate(some)] + [(1000 + k, [float(x) for x in np.asarray(v) + rng.normal(0, 0.02, len(v))]) for k, v in enumerate(some)]
+    marked = media.with_fingerprint(queries.recordings(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))).localCheckpoint()
+    prints = {r.media_id: np.array(r.fingerprint, np.int32).view(np.uint32) for r in marked.collect()}
+
+    def error(x, y, offset):
+        begin, end = max(0, -offset), min(len(x), len(y) - offset)
+        return int(np.bitwise_count(x[begin:end] ^ y[begin + offset : end + offset]).sum()) / (32 * (end - begin)) if end - begin >= 24 else 1.0
+
+    copies = [k for k in range(len(some)) if error(prints[k], prints[1000 + k], 0) <= 0.25]
+    assert len(copies) >= 0.9 * len(some)
+    got = {r.media_id: r for r in media.align(marked).collect()}
+    assert sum(got[1000 + k].best_match == k for k in copies) >= 0.9 * len(copies)
+    for k, r in got.items():
+        assert r.n_links == 0 or r.bit_error == (error(prints[k], prints[r.best_match], r.offset)) <= 0.25
+
+
 def test_media_links_at_a_repeated_passage(spark):
     """The beginning of a passage comes twice in one recording: each place votes and each offset is tried."""
     notes = np.random.default_rng(6).integers(-(1 << 31), 1 << 31, 140).astype(int).tolist()
