@@ -175,6 +175,19 @@ def test_linedup_matches_brute_force(spark):
     assert linedup.dedupe_lines(empty(spark)).count() == 0
 
 
+def test_linedup_tells_words_of_one_short_hash_apart(spark):
+    seen, pairs = {}, []
+    for k in range(300_000):
+        h = xxhash.xxh64_intdigest(f"w{k}".encode(), seed=42) & 0xFFFFFFFF  # Spark's seed
+        if h in seen:
+            pairs.append((f"w{seen[h]}", f"w{k}"))
+        seen[h] = k
+    assert pairs
+    rows = [(2 * i + j, w) for i, pair in enumerate(pairs) for j, w in enumerate(pair)]
+    got = linedup.dedupe_lines(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id, r.text, r.n_removed, r.n_links) for r in got) == [(k, w, 0, 0) for k, w in rows]
+
+
 def test_linedup_takes_odd_rows(spark, docs):
     got = linedup.dedupe_lines(docs).collect()
     assert len(got) == len(odd_rows())
