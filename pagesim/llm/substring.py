@@ -1,4 +1,4 @@
-"""Substring dedup by content-defined chunking: a gear rolling hash cuts texts, and chunks are told apart by digest."""
+"""Substring dedup by content-defined chunking: least gear hashes cut texts, and chunks are told apart by digest."""
 
 from __future__ import annotations
 
@@ -13,8 +13,9 @@ from pyspark.sql import types as T
 
 from .common import written
 
-#: A cut depends on the last 32 bytes; one place in 2**CUT_BITS is a candidate, MIN and MAX bound a chunk's bytes.
-CUT_BITS, MIN, MAX = 5, 16, 256
+#: A cut is a place whose hash, of the last 8 bytes, is the least of the AROUND places on either side, so nothing but the
+#: bytes around it matters. Where texts repeat with a short period all its least places are cuts, MIN bytes apart or more.
+AROUND, MIN = 16, 16
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -23,21 +24,19 @@ def cuts(raw: bytes) -> list[int]:
     if not raw:
         return []
     h = GEAR[np.frombuffer(raw, np.uint8)]
-    for step in (1, 2, 4, 8, 16):  # after these, h[i] = sum of gear[raw[i - j]] << j over the 32 bytes up to i
+    for step in (1, 2, 4):  # after these, h[i] = sum of gear[raw[i - j]] << j over the 8 bytes up to i
         if len(h) > step:
             shifted = h[:-step] << np.uint32(step)
             h[step:] += shifted
+    least = np.pad(h, AROUND, constant_values=np.uint32(0xFFFFFFFF))
+    for step in (1, 2, 4, 8, 16):  # after these, least[i] is that of 32 places from i
+        least = np.minimum(least[:-step], least[step:])
+    least = np.minimum(least[:-1], least[1:])
     ends, begin = [], 0
-    for at in (np.flatnonzero(h >> np.uint32(32 - CUT_BITS) == 0) + 1).tolist():
-        while at - begin > MAX:
-            begin += MAX
-            ends.append(begin)
+    for at in (np.flatnonzero(h == least) + 1).tolist():
         if at - begin >= MIN:
             ends.append(at)
             begin = at
-    while len(raw) - begin > MAX:
-        begin += MAX
-        ends.append(begin)
     if begin < len(raw):
         ends.append(len(raw))
     return ends

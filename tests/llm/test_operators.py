@@ -217,6 +217,21 @@ def test_cuts_come_back_after_an_insertion():
     assert int(full[131]) == h
 
 
+def test_passages_of_51_words_share_runs():
+    """Passages between different texts, of ordinary words or of few distinct ones: nearly all give a run."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) for _ in range(3000)]
+    for distinct, least_recall in ((3000, 0.99), (4, 0.98), (2, 0.98)):
+        found = 0
+        for _ in range(300):
+            own = rng.sample(vocabulary, distinct)
+            passage = " ".join(rng.choice(own) for _ in range(51))
+            texts = [" ".join((*rng.choices(vocabulary, k=rng.randrange(20, 60)), passage, *rng.choices(vocabulary, k=40))).encode() for _ in range(2)]
+            (ends, one), (_, other) = ((substring.cuts(t), substring._digests(t)) for t in texts)
+            found += bool(substring._runs([k for k, d in enumerate(one) if d in set(other)], ends, 80))
+        assert found >= least_recall * 300
+
+
 def test_substring_finds_planted_passages(spark):
     rng = random.Random(6)
     vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) for _ in range(3000)]
