@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,28 +22,79 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a temporary one only where none is set (local tests)."""
+    """The folder that the driver and all executors see; a temporary one only where none is set and all is one process."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="pagesim-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def written(df: DataFrame, name: str = "table", tidy: bool = False) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there, and a lost executor costs nothing before it.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    With `tidy` Spark is asked to drop the shuffle files of plans that are done, as nothing reads them again; it does so
-    when the driver collects its garbage, which otherwise may take until the end.
-    """
+
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """Spark drops the shuffle files of what runs inside as soon as it has ended: nothing reads them again."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage ends there, and a lost executor costs nothing before it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if tidy:
-        spark.sparkContext._jvm.System.gc()
+    with _tidy(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that `written` gave and that nothing reads again."""
+    for table in tables:
+        jvm, conf = table.sparkSession._jvm, table.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like those wanted that no column of df has."""
+    taken, names = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        names.append(name)
+    return names
+
+
+def key_filter(keys: DataFrame, most_bits: int = 27) -> DataFrame:
+    """One row: an array of words of 64 bits with a bit for each hash value that some row of keys (`id`, bigint) has.
+
+    There are about 16 bits a key and 2**most_bits at most. The word is told by the lowest bits of the key, the bit by its
+    top six. It only spares moving rows whose key cannot be there; what it lets through still has to be joined.
+    """
+    words = 1 << (min(most_bits, max(16, (16 * keys.count()).bit_length())) - 6)
+    one = keys.select(F.col("id").bitwiseAND(F.lit(words - 1)).alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned("id", 58).cast("int")).alias("b"))
+    every = keys.sparkSession.range(words).select(F.col("id").alias("w"), F.lit(0).cast("bigint").alias("b"))
+    rows = one.groupBy("w").agg(F.bit_or("b").alias("b")).union(every).groupBy("w").agg(F.bit_or("b").alias("b"))
+    rows = rows.groupBy(F.shiftright("w", 10).alias("hi")).agg(F.sort_array(F.collect_list(F.struct("w", "b"))).alias("r"))
+    return rows.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("hi", F.col("r.b").alias("b")))), lambda x: x["b"])).alias("bits"))
+
+
+def maybe_in(bits: Column, key: Column) -> Column:
+    """False where the key surely is not among those of the filter."""
+    word = F.get(bits, key.bitwiseAND((F.size(bits) - 1).cast("bigint")).cast("int"))
+    return F.call_function("shiftrightunsigned", word, F.shiftrightunsigned(key, 58).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOWER)
 
@@ -56,12 +110,18 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 
 
 def labelled_sample(rows: DataFrame, label: str, per_label: int, by: list[str]) -> DataFrame:
-    """Up to per_label rows of each label: those with the least hash of `by`, whatever the order of the input.
+    """Up to per_label distinct rows (label, *by) of each label: those with the least hash of `by`.
 
-    Each task keeps per_label rows of a label before anything moves, so a label that most rows have does no harm.
+    A label's rows are counted first (labels are few), and only those whose hash lies below twice the share wanted are
+    ranked, so about 2 * per_label rows of a label meet, however many there are.
     """
-    order = Window.partitionBy(label).orderBy(F.xxhash64(*by), *[F.col(c) for c in by])
-    return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_label).drop("_rank")
+    once = rows.groupBy(label, *by).agg(F.count("*").alias("_times")).drop("_times")
+    hashed = once.withColumn("_hash", F.xxhash64(*by))
+    counts = hashed.groupBy(label).agg(F.count("*").alias("_n")).collect()
+    most = (1 << 63) - 1
+    limit = F.coalesce(*(F.when(F.col(label).eqNullSafe(F.lit(r[0])), F.lit(min(most, -most + 2 * most * (2 * per_label + 100) // r[1]))) for r in counts), F.lit(most))
+    order = Window.partitionBy(label).orderBy("_hash", *by)
+    return hashed.where(F.col("_hash") <= limit).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_label).drop("_rank", "_hash")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -85,5 +145,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     stars = edges.groupBy("a").agg(F.min("b").alias("component"))
     return stars.select(F.col("a").alias("node"), "component").union(stars.select(F.col("component").alias("node"), "component").distinct())

@@ -45,7 +45,7 @@ def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return linedup.dedupe_lines(docs).select("doc_id", "n_removed", "n_links", F.length("text").cast("bigint").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+    return linedup.dedupe_lines(docs).select("doc_id", "n_removed", "n_similar", F.length("text").cast("bigint").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -143,11 +143,11 @@ df AS (SELECT w, count(*) AS c FROM tk GROUP BY w),
 pf AS MATERIALIZED (SELECT id, w, n FROM (SELECT id, tk.w, n, row_number() OVER (PARTITION BY id ORDER BY c, tk.w) AS p FROM tk JOIN df USING (w)) WHERE p <= n - (n * 800 + 999) // 1000 + 1),
 ca AS (SELECT DISTINCT a.id AS a, b.id AS b FROM pf a JOIN pf b ON a.w = b.w AND a.id < b.id AND least(a.n, b.n) * 10 >= greatest(a.n, b.n) * 8),
 lk AS MATERIALIZED (SELECT a, b FROM (SELECT a, b, len(list_intersect(x.w, y.w)) AS i, len(x.w) + len(y.w) AS t FROM ca JOIN st x ON x.id = a JOIN st y ON y.id = b) WHERE i * 1800 >= t * 800),
-ar AS (SELECT e.id, count(*) AS n, min(f) AS f FROM (SELECT a AS id, b AS other FROM lk UNION ALL SELECT b, a FROM lk) e JOIN cl ON cl.id = e.other GROUP BY e.id),
-ju AS (SELECT s, CASE WHEN ar.f < cl.f THEN ar.f ELSE cl.f END AS f, coalesce(ar.n, 0) AS n FROM cl LEFT JOIN ar USING (id)),
-pl AS (SELECT doc_id, line, li.s, coalesce((doc_id, line) > f, false) AS later, coalesce(n, 0) AS n FROM li LEFT JOIN ju ON li.s = ju.s),
-ou AS (SELECT doc_id, count(*) FILTER (later) AS n_removed, sum(n)::BIGINT AS n_links, coalesce(string_agg(s, chr(10) ORDER BY line) FILTER (NOT later), '') AS t FROM pl GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(n_links, 0) AS n_links, length(t) AS kept_chars, sha256(t) AS kept_sha256 FROM documents d LEFT JOIN ou ON d.doc_id = ou.doc_id
+ar AS (SELECT e.id, min(f) AS f FROM (SELECT a AS id, b AS other FROM lk UNION ALL SELECT b, a FROM lk) e JOIN cl ON cl.id = e.other GROUP BY e.id),
+ju AS (SELECT s, cl.f, coalesce(ar.f < cl.f, false) AS near FROM cl LEFT JOIN ar USING (id)),
+pl AS (SELECT doc_id, line, li.s, coalesce((doc_id, line) > f, false) AS repeats, coalesce(near, false) AS near FROM li LEFT JOIN ju ON li.s = ju.s),
+ou AS (SELECT doc_id, count(*) FILTER (repeats OR near) AS n_removed, count(*) FILTER (near AND NOT repeats) AS n_similar, coalesce(string_agg(s, chr(10) ORDER BY line) FILTER (NOT repeats AND NOT near), '') AS t FROM pl GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(n_similar, 0) AS n_similar, length(t) AS kept_chars, sha256(t) AS kept_sha256 FROM documents d LEFT JOIN ou ON d.doc_id = ou.doc_id
 """
 
 ORACLES: dict[str, str] = {"op4_linedup": _LINES}

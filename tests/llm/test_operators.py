@@ -154,24 +154,30 @@ def plain_lines(rows, threshold=0.8):
         kept, n = [], 0
         for k, line in enumerate(t.split("\n")) if t is not None else ():
             if line in first:
-                n += len(links[line])
-                if (i is not None, i or 0, k) > min([first[line], *(first[x] for x in links[line])]):
+                repeats, similar = (i is not None, i or 0, k) > first[line], any(first[x] < first[line] for x in links[line])
+                n += similar and not repeats
+                if repeats or similar:
                     continue
             kept.append(line)
         out[i, t] = (None if t is None else "\n".join(kept), n)
     return out
 
 
-def test_linedup_matches_brute_force(spark):
+@pytest.mark.parametrize("heavy, leaders", [(64, 3), (2, 1)])
+def test_linedup_matches_brute_force(spark, monkeypatch, heavy, leaders):
+    monkeypatch.setattr(linedup, "HEAVY", heavy)
+    monkeypatch.setattr(linedup, "LEADERS", leaders)
     rng = random.Random(9)
     lines = [prose(rng, rng.randrange(1, 30)) for _ in range(60)]
     rows = [(k, "\n".join((w := rng.choice(lines).split(" "), w.__setitem__(rng.randrange(len(w)), f"n{rng.randrange(9)}") if rng.random() < 0.5 else None)[0] and " ".join(w) for _ in range(rng.randrange(1, 9)))) for k in range(120)]
     rows += [(200, None), (201, ""), (202, "\n \n"), (203, rows[0][1]), (204, "tab\tsplit words here\r"), (205, "words here split tab")]
+    near = [f"w{k}" for k in range(70)]
+    rows += [(300 + k, " ".join([*near[: k % 7 * 2], f"x{k}", *near[k % 7 * 2 + 2 :]])) for k in range(40)]  # a group of near copies
     want = plain_lines(rows)
-    table = spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA + ", n_links string")
-    got = linedup.dedupe_lines(table.select("doc_id", F.col("text").alias("original"), "text", "n_links")).collect()
-    assert {(r.doc_id, r.original): (r.text, r.n_links) for r in got} == want
-    assert sum(r.n_links for r in got) > 50
+    table = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in rows], SCHEMA + ", n_similar string, gone string, id string")
+    got = linedup.dedupe_lines(table.withColumn("original", F.col("text"))).collect()
+    assert {(r.doc_id, r.original): (r.text, r.n_similar) for r in got} == want
+    assert sum(r.n_similar for r in got) > 50 and {(r.gone, r.id) for r in got} == {("y", "z")}
     assert linedup.dedupe_lines(empty(spark)).count() == 0
 
 
@@ -185,7 +191,7 @@ def test_linedup_tells_words_of_one_short_hash_apart(spark):
     assert pairs
     rows = [(2 * i + j, w) for i, pair in enumerate(pairs) for j, w in enumerate(pair)]
     got = linedup.dedupe_lines(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert sorted((r.doc_id, r.text, r.n_removed, r.n_links) for r in got) == [(k, w, 0, 0) for k, w in rows]
+    assert sorted((r.doc_id, r.text, r.n_removed, r.n_similar) for r in got) == [(k, w, 0, 0) for k, w in rows]
 
 
 def test_linedup_takes_odd_rows(spark, docs):
