@@ -47,6 +47,12 @@ class Vocabulary:
         model, pre = spec["model"], spec["pre_tokenizer"]
         if model["type"] != "BPE" or spec["normalizer"] or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"]:
             raise ValueError(f"{path}: only byte-level BPE without normalizer and prefix space is supported")
+        for name in ("ignore_merges", "byte_fallback", "dropout", "continuing_subword_prefix", "end_of_word_suffix"):
+            if model.get(name):
+                raise ValueError(f"{path}: {name} is not supported")
+        for x in spec["added_tokens"]:
+            if any(x.get(flag) for flag in ("single_word", "lstrip", "rstrip")):
+                raise ValueError(f"{path}: added tokens that match with their surroundings are not supported")
         ids, letters = model["vocab"], byte_letters()
         back = {c: b for b, c in enumerate(letters)}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}

@@ -95,6 +95,26 @@ def maybe_in(bits: Column, key: Column) -> Column:
     return F.call_function("shiftrightunsigned", word, F.shiftrightunsigned(key, 58).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
 
 
+#: Keys with over 1 / HOT of the rows (fewer than HOT of them) are dealt into SALTS parts.
+HOT, SALTS = 256, 64
+
+
+def salted_join(rows: DataFrame, keys: DataFrame, on: list[str], times: str, by: str) -> DataFrame:
+    """rows joined with keys, a written table with a row for each key and in `times` how many rows have it.
+
+    The rows of a key that has many are dealt into SALTS tasks by a hash of their column `by`.
+    """
+    total = keys.agg(F.sum(times)).first()[0] or 0
+    hot = [r[0] for r in keys.where(F.col(times) > total / HOT).select(on[0]).collect()]  # fewer than HOT by the sum
+    if not hot:
+        return rows.join(keys.drop(times), on)
+    many = F.col(on[0]).isin(hot)
+    (salt,) = free_names(rows, "salt")
+    dealt = rows.withColumn(salt, F.when(many, F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(0).cast("int"))
+    each = keys.drop(times).withColumn(salt, F.explode(F.sequence(F.lit(0), F.when(many, SALTS - 1).otherwise(0))))
+    return dealt.join(each, [*on, salt]).drop(salt)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOWER)
 

@@ -44,13 +44,13 @@ def counts(doc: np.ndarray, bucket: np.ndarray, docs: int, bits: int) -> tuple[n
     return at >> bits, at & ((1 << bits) - 1), dense[at]
 
 
-def blocks(texts: Iterable[str | None], docs: int = 96) -> Iterator[list[str | None]]:
-    """Runs of texts of about BLOCK_BYTES together (or one longer text), `docs` at most."""
+def blocks(texts: Iterable[str | None], docs: int = 96, most: int = BLOCK_BYTES) -> Iterator[list[str | None]]:
+    """Runs of texts of about `most` characters together (or one longer text), `docs` at most."""
     held, block = 0, []
     for x in texts:
         block.append(x)
         held += len(x) if x else 0
-        if held >= BLOCK_BYTES or len(block) >= docs:
+        if held >= most or len(block) >= docs:
             yield block
             held, block = 0, []
     if block:
@@ -64,3 +64,16 @@ def column_texts(batch: pa.RecordBatch, name: str) -> Iterator[str | None]:
 def half(key: Column) -> Column:
     """0 or 1 for each row, by hash."""
     return F.pmod(F.xxhash64(key, F.lit("half")), F.lit(2)).cast("int")
+
+
+def calibrated(raw: np.ndarray, y: np.ndarray, stands: np.ndarray) -> tuple[float, float]:
+    """Scale and shift of a logistic curve from raw scores to probabilities, by Newton steps; stands: rows that each stands for."""
+    if not len(y) or y.min() == y.max():
+        return 1.0, 0.0
+    target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+    weight = stands / stands.mean()
+    x, ab = np.stack((raw, np.ones(len(raw)))), np.array([1.0, 0.0])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(ab @ x, -50, 50)))
+        ab -= np.clip(np.linalg.solve((x * (weight * p * (1 - p))) @ x.T + 1e-6 * np.eye(2), x @ (weight * (p - target))), -1, 1)
+    return float(ab[0]), float(ab[1])

@@ -39,7 +39,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     languages: list[str] = field(default_factory=list)  # of each centroid
-    least: float = 0.0  # similarity to the nearest centroid below which a text is rejected
+    least: list[float] = field(default_factory=list)  # for each centroid the similarity below which a text is rejected
 
 
 def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -74,11 +74,12 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[int, np.n
     return int(total[0]), total[1:]
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 300, centroids: int = 4, slack: float = 0.4) -> Model:
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 300, centroids: int = 4, slack: float = 0.6) -> Model:
     """Centroids from rows with a language; rows without language or text teach nothing.
 
-    Document frequencies cover all rows; the centroids come from a sample bounded by per_language rows a language.
-    A text is rejected whose similarity to the nearest centroid is below `slack` times the least in the sample.
+    Document frequencies cover all rows; the centroids come from a sample bounded by per_language different texts a
+    language, told by the least hashes, of which a fifth is held back. A text is rejected if its similarity to the nearest
+    centroid is below `slack` times the least that a text held back has with a centroid of its own language.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     n, df = document_frequencies(rows)
@@ -86,32 +87,34 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_langu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = batch.column(batch.schema.get_field_index("lang")).to_pylist()
+            langs, hashes = batch.column(batch.schema.get_field_index("lang")).to_pylist(), batch.column(batch.schema.get_field_index("h"))
             done = 0
             for texts in blocks(column_texts(batch, "text")):
                 doc, bucket, count = _counted(texts)
                 offsets = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x, pa.int32())) for x in (bucket, count)]
-                yield pa.RecordBatch.from_arrays([pa.array(langs[done : done + len(texts)], pa.string()), *lists], names=["lang", "bucket", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(langs[done : done + len(texts)], pa.string()), hashes.slice(done, len(texts)), *lists], names=["lang", "h", "bucket", "n"])
                 done += len(texts)
 
-    sample = labelled_sample(rows, "lang", per_language, ["text"]).mapInArrow(run, "lang string, bucket array<int>, n array<int>").collect()
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    few = F.broadcast(labelled_sample(hashed.select("lang", "h"), "lang", per_language, ["h"]))  # per_language rows a language
+    texts = hashed.join(few, ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    sample = texts.select("lang", "h", "text").mapInArrow(run, "lang string, h bigint, bucket array<int>, n array<int>").collect()
     by: dict[str, list[np.ndarray]] = {}
-    for language, bucket, count in sample:
+    for language, _, bucket, count in sorted(sample, key=lambda r: r.h):
         x = np.zeros(1 << BITS, np.float32)
         x[bucket] = (1 + np.log(np.array(count, np.float32))) * idf[bucket]
         if norm := float(np.linalg.norm(x)):
             by.setdefault(language, []).append(x / norm)
     model = Model(idf, np.zeros((0, 1 << BITS), np.float32))
-    least: list[float] = []
     for language in sorted(by):
         x = np.array(by.pop(language))
-        centres = _cluster(x, centroids)
-        near = x @ centres.T
-        least.append(slack * float(near.max(axis=1).min()))
+        back = np.arange(len(x)) % 5 == 4 if len(x) >= 10 else np.zeros(len(x), bool)
+        centres = _cluster(x[~back], centroids)
+        near = (x[back] if back.any() else x) @ centres.T
         model.centroids = np.concatenate((model.centroids, centres))
         model.languages += [language] * len(centres)
-    model.least = min(least, default=0.0)
+        model.least += [slack * float(near.max(axis=1).min())] * len(centres)
     return model
 
 
@@ -138,7 +141,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     if t and len(m.languages) and _LETTER(t):
                         langs.append(m.languages[best[k]])
                         scores.append(min(1.0, max(0.0, float(top[k]))))
-                        rejected.append(bool(top[k] < m.least))
+                        rejected.append(bool(top[k] < m.least[best[k]]))
                     else:
                         langs.append("und")
                         scores.append(0.0)

@@ -3,11 +3,14 @@
 Words are counted over all training texts. The most frequent ones are the network's vocabulary, in classes of CLASS; all
 others fall into one of REST classes by their first letters, where a word has its add-one share of the counts. A text's
 probability is the product over its words and its end of P(class | state) P(word | class, state), the state carried from
-window to window from the text's first word to its end.
+window to window from the text's first word to its end. Training goes over every text in the same way: texts are laid one
+after the other into lanes, each window of SPAN words is trained by backpropagation through its steps, and the state at
+its end begins the next; a text begins with the zero state.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -21,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import dropped, free_names, written
+from .features import blocks, column_texts
 
 #: Hidden units, words in a class, classes of frequent words at most, classes of other words, words kept with their
 #: counts in each task at most (those of the highest counts; a join finds the others').
 HIDDEN, CLASS, CLASSES, REST, HEAD = 16, 64, 48, 16, 300_000
-#: Words of a training window, windows of a text, rounds of averaging, texts scored side by side, steps of a window.
-SPAN, ROUNDS, LANES, STEPS, BATCH = 24, 3, 768, 64, 96
+#: Words of a training window, rounds of averaging (each has its share of the texts), lanes of training and of scoring,
+#: steps scored at once, tokens of the same class side by side, characters scored at once.
+SPAN, ROUNDS, TRAIN_LANES, LANES, STEPS, TOGETHER, BLOCK_CHARS = 24, 3, 128, 512, 64, 32, 6_000_000
 END = "\n"  # no word has it
 _FLUSH = 400_000
 
@@ -77,10 +82,11 @@ class Net:
         return np.concatenate([getattr(self, k).ravel() for k in self.NAMES])
 
     def like(self, flat: np.ndarray) -> Net:
+        """A net of the same shapes whose parameters are views of flat."""
         parts, at = [], 0
         for k in self.NAMES:
             x = getattr(self, k)
-            parts.append(flat[at : at + x.size].reshape(x.shape).astype(np.float32))
+            parts.append(flat[at : at + x.size].reshape(x.shape))
             at += x.size
         return Net(*parts)
 
@@ -131,41 +137,85 @@ def _log_probability(net: Net, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _gradient(net: Net, x: np.ndarray, y: np.ndarray) -> Net:
-    """Of the mean negative log-likelihood over windows x -> y (rows), by backpropagation through their steps; y < 0 is padding."""
+def _lanes(sizes: np.ndarray, lanes: int) -> list[list[int]]:
+    """Texts dealt into lanes of about the same length, the longest first; the longest lane is the first."""
+    order = np.argsort(-sizes, kind="stable").tolist()
+    held = [(0, k) for k in range(min(lanes, len(order)))]
+    out: list[list[int]] = [[] for _ in held]
+    for i in order:
+        length, k = held[0]
+        out[k].append(i)
+        heapq.heapreplace(held, (length + int(sizes[i]), k))
+    total = [sum(int(sizes[i]) for i in own) for own in out]
+    return [out[k] for k in sorted(range(len(out)), key=lambda k: -total[k])]
+
+
+def _side_by_side(cls: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(groups, places): groups of TOGETHER places whose outputs are of one class, -1 where none; and each group's class."""
+    order = np.argsort(cls.astype(np.int16), kind="stable")
+    sizes = np.bincount(cls, minlength=classes)[:classes]
+    groups = -(-sizes // TOGETHER)
+    inside = order[: int(sizes.sum())]
+    sorted_cls = cls[inside]
+    slot = (np.cumsum(groups) - groups)[sorted_cls] * TOGETHER + np.arange(len(inside)) - (np.cumsum(sizes) - sizes)[sorted_cls]
+    places = np.full(int(groups.sum()) * TOGETHER, -1, np.int64)
+    places[slot] = inside
+    return places.reshape(-1, TOGETHER), np.repeat(np.arange(classes), groups), groups
+
+
+def _gradient(net: Net, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h0: np.ndarray, out: Net) -> np.ndarray:
+    """Writes to `out` the gradient of the mean negative log-likelihood over windows x -> y (lanes by steps), by
+    backpropagation through their steps; gives the states at their ends. fresh: where a text begins; y < 0 is padding."""
     rows, steps = x.shape
-    states, gates = [np.zeros((rows, HIDDEN), np.float32)], []
+    states, gates, before = [], [], []
+    h = h0
     for t in range(steps):
-        h, *own = _step(net, x[:, t], states[-1])
+        prev = h * ~fresh[:, t, None]
+        h, *own = _step(net, x[:, t], prev)
+        before.append(prev)
         states.append(h)
         gates.append(own)
-    after = np.stack(states[1:], axis=1).reshape(-1, HIDDEN)
+    after = np.stack(states, axis=1).reshape(-1, HIDDEN)
     target = y.ravel()
     real = np.flatnonzero(target >= 0)
-    target, h = target[real], after[real]
-    frequent, n = len(net.w), max(1, len(real))
+    target, hs = target[real], after[real]
+    frequent, n = len(net.w), np.float32(max(1, len(real)))
+    at = np.arange(len(target))
     cls = np.where(target < frequent * CLASS, target // CLASS, target - frequent * CLASS + frequent)
-    d = np.exp(_log_softmax(h @ net.c + net.cb))
-    d[np.arange(len(target)), cls] -= 1
-    d /= n
-    out = net.like(np.zeros(net.flat().size))
-    out.c[:], out.cb[:] = h.T @ d, d.sum(axis=0)
-    dh_real = d @ net.c.T
-    for k, at in _by_class(cls, frequent):
-        own = np.exp(_log_softmax(h[at] @ net.w[k] + net.wb[k]))
-        own[np.arange(len(at)), target[at] - k * CLASS] -= 1
-        own /= n
-        out.w[k], out.wb[k] = h[at].T @ own, own.sum(axis=0)
-        dh_real[at] += own @ net.w[k].T
+    d = hs @ net.c + net.cb
+    d -= d.max(axis=1, keepdims=True)
+    np.exp(d, out=d)
+    d /= d.sum(axis=1, keepdims=True) * n
+    d[at, cls] -= 1 / n
+    out.c[:], out.cb[:] = hs.T @ d, d.sum(axis=0)
+    dh_real = np.concatenate((d @ net.c.T, np.zeros((1, HIDDEN), np.float32)))
+    out.w[:], out.wb[:] = 0, 0
+    places, which, groups = _side_by_side(cls, frequent)
+    if len(which):
+        some = np.concatenate((hs, np.zeros((1, HIDDEN), np.float32)))[places]
+        own = some @ net.w[which] + net.wb[which][:, None]
+        own -= own.max(axis=2, keepdims=True)
+        np.exp(own, out=own)
+        own /= own.sum(axis=2, keepdims=True) * n
+        flat, kept = own.reshape(-1, CLASS), np.flatnonzero(places.ravel() >= 0)
+        chosen = places.ravel()[kept]
+        flat[places.ravel() < 0] = 0
+        flat[kept, target[chosen] - cls[chosen] * CLASS] -= 1 / n
+        present = np.flatnonzero(groups)
+        begins = (np.cumsum(groups) - groups)[present]
+        out.w[present] = np.add.reduceat(some.transpose(0, 2, 1) @ own, begins, axis=0)
+        out.wb[present] = np.add.reduceat(own.sum(axis=1), begins, axis=0)
+        dh_real[chosen] += (own @ net.w[which].transpose(0, 2, 1)).reshape(-1, HIDDEN)[kept]
     dh_all = np.zeros((rows * steps, HIDDEN), np.float32)
-    dh_all[real] = dh_real
+    dh_all[real] = dh_real[:-1]
     dh_all = dh_all.reshape(rows, steps, HIDDEN)
     dh = np.zeros((rows, HIDDEN), np.float32)
     de = np.zeros((rows, steps, 3 * HIDDEN), np.float32)
     u_zr, u_g = net.u[:, : 2 * HIDDEN], net.u[:, 2 * HIDDEN :]
+    out.u[:] = 0
     for t in range(steps - 1, -1, -1):
         dh = dh + dh_all[:, t]
-        prev, (z, r, g) = states[t], gates[t]
+        prev, (z, r, g) = before[t], gates[t]
         dg = dh * z * (1 - g * g)
         dz = dh * (g - prev) * z * (1 - z)
         back = dg @ u_g.T
@@ -173,25 +223,42 @@ def _gradient(net: Net, x: np.ndarray, y: np.ndarray) -> Net:
         dzr = np.concatenate((dz, dr), axis=1)
         out.u[:, : 2 * HIDDEN] += prev.T @ dzr
         out.u[:, 2 * HIDDEN :] += (r * prev).T @ dg
-        de[:, t] = np.concatenate((dzr, dg), axis=1)
-        dh = dh * (1 - z) + back * r + dzr @ u_zr.T
-    np.add.at(out.e, x.ravel(), de.reshape(-1, 3 * HIDDEN))
-    return out
-
-
-def _trained(net: Net, x: np.ndarray, y: np.ndarray, passes: int, rate: float) -> np.ndarray:
-    """Parameters after Adam over the windows, in an order that a fixed seed gives."""
-    theta, rng = net.flat().astype(np.float32), np.random.default_rng(11)
-    m, v, k = np.zeros_like(theta), np.zeros_like(theta), 0
-    for _ in range(passes):
-        order = rng.permutation(len(x))
-        for at in range(0, len(order), BATCH):
-            pick = order[at : at + BATCH]
-            g = _gradient(net.like(theta), x[pick], y[pick]).flat()
-            k += 1
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            theta -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-6)
+        de[:, t, : 2 * HIDDEN], de[:, t, 2 * HIDDEN :] = dzr, dg
+        dh = (dh * (1 - z) + back * r + dzr @ u_zr.T) * ~fresh[:, t, None]
+    order = np.argsort(x.ravel(), kind="stable")
+    inputs = x.ravel()[order]
+    begins = np.flatnonzero(np.concatenate(([True], inputs[1:] != inputs[:-1])))
+    out.e[:] = 0
+    out.e[inputs[begins]] = np.add.reduceat(de.reshape(-1, 3 * HIDDEN)[order], begins, axis=0)
+    return h
+
+
+def _trained(net: Net, texts: list[np.ndarray], end: int, rate: float) -> np.ndarray:
+    """Parameters after Adam over all windows of the texts (outputs, each ending with `end`), from first to last."""
+    theta = net.flat().astype(np.float32)
+    own, grad = net.like(theta), np.zeros_like(theta)
+    out, m, v, move = net.like(grad), np.zeros_like(theta), np.zeros_like(theta), np.zeros_like(theta)
+    lanes = [np.concatenate([texts[i] for i in lane]).astype(np.int64) for lane in _lanes(np.array([len(t) for t in texts]), TRAIN_LANES)]
+    h, k = np.zeros((len(lanes), HIDDEN), np.float32), 0
+    for t in range(0, len(lanes[0]), SPAN):
+        live = sum(len(lane) > t for lane in lanes)
+        y = np.full((live, SPAN + 1), -1, np.int64)
+        for j in range(live):
+            part = lanes[j][max(0, t - 1) : t + SPAN]
+            y[j, int(t == 0) : int(t == 0) + len(part)] = part
+        if t == 0:
+            y[:, 0] = end
+        h = _gradient(own, np.maximum(y[:, :-1], 0), y[:, 1:], y[:, :-1] == end, h[:live], out)
+        k += 1
+        m += np.float32(0.1) * (grad - m)
+        np.multiply(grad, grad, out=move)
+        v += np.float32(0.01) * (move - v)
+        np.sqrt(v, out=move)
+        move *= np.float32(1 / np.sqrt(1 - 0.99**k))
+        move += np.float32(1e-6)
+        np.divide(m, move, out=move)
+        filled = min(1.0, float((y[:, 1:] >= 0).sum()) / (TRAIN_LANES * SPAN))  # where few lanes are left a step is shorter
+        theta -= np.float32(filled * rate / (1 - 0.9**k)) * move
     return theta
 
 
@@ -231,7 +298,7 @@ def _start(m: Model) -> Net:
     rng = np.random.default_rng(7)
     count = np.full(classes * CLASS, 1e-9)
     inside = m.output < classes * CLASS
-    count[m.output[inside]] = m.counts[inside]
+    count[m.output[inside]] = np.maximum(m.counts[inside], 1e-9)
     per = count.reshape(classes, CLASS)
     wb = np.log(per / per.sum(axis=1, keepdims=True))
     mass = np.concatenate((per.sum(axis=1), m.rest_total + m.rest_types + 1.0))
@@ -242,6 +309,8 @@ def _start(m: Model) -> Net:
 def _statistics(counts: DataFrame) -> Model:
     """Totals and the head words; only HEAD words at most come to the driver."""
     n_all, types = counts.agg(F.sum("n"), F.count("*")).first()
+    if not types:
+        return Model(0, 0, {END.encode(): 0}, 1, np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(REST), np.zeros(REST))
     step = F.floor(F.log2("n") * 8).cast("int")
     steps = sorted(counts.groupBy(step.alias("s")).agg(F.count("*").alias("k"), F.min("n").alias("n")).collect(), key=lambda r: -r.s)
     held, least = 0, (steps[0].n if steps else 1)
@@ -268,48 +337,38 @@ def _statistics(counts: DataFrame) -> Model:
     return Model(n_all, types, {w: k for k, (_, w) in enumerate(rows)}, least, np.array([-n for n, _ in rows], np.int64), output, n_rest, t_rest)
 
 
-def _windows(docs: DataFrame, model, text: str) -> DataFrame:
-    """For each text one window of SPAN + 1 outputs a round: from its first word, then from places that a hash gives."""
+def _outputs(docs: DataFrame, model, text: str) -> DataFrame:
+    """round and ids (outputs to its end) of every whole text; a hash of the text gives its round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        end = m.output[m.head[END.encode()]]
         for batch in batches:
-            rounds, rows = [], []
-            for t in batch.column(0):
-                t = t.as_py() or ""
-                words = t.encode().lower().split()
-                seed = zlib.crc32(t.encode())
-                for k in range(ROUNDS):
-                    at = 0 if k == 0 or len(words) <= SPAN else (seed * (k + 7) >> 3) % (len(words) - SPAN + 1)
-                    part = words[max(0, at - 1) : at + SPAN]
-                    out = m.outputs(part, m.numbers(part))
-                    out = out[:-1] if at + SPAN < len(words) else out
-                    rounds.append(k)
-                    rows.append(np.concatenate(([end], out) if at == 0 else (out,)).astype(np.int32)[: SPAN + 1])
-            offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-            flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(rounds, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))], names=["round", "ids"])
+            for texts in blocks(column_texts(batch, text), len(batch), BLOCK_CHARS):
+                rounds = [zlib.crc32((t or "").encode()) % ROUNDS for t in texts]
+                rows = []
+                for t in texts:
+                    words = (t or "").encode().lower().split()
+                    rows.append(m.outputs(words, m.numbers(words)).astype(np.int32))
+                offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(rounds, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows)))], names=["round", "ids"])
 
     return docs.select(text).mapInArrow(run, "round int, ids array<int>")
 
 
-def _average(windows: DataFrame, net: Net, passes: int, rate: float) -> Net:
-    """Each task trains its own copy of the net on its windows; the mean of the copies, by their windows."""
-    held = windows.sparkSession.sparkContext.broadcast(net)  # about a MB whatever the input
+def _average(texts: DataFrame, net: Net, end: int, rate: float) -> Net:
+    """Each task trains its own copy of the net on its texts (ids); the mean of the copies, by their tokens."""
+    held = texts.sparkSession.sparkContext.broadcast(net)  # about a MB whatever the input
     width = 4096
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [np.asarray(x.values) for b in batches for x in b.column(0) if len(x.values or ()) > 1]
+        rows = [np.asarray(x.values).astype(np.int16) for b in batches for x in b.column(0)]
         if not rows:
             return
-        table = np.full((len(rows), SPAN + 1), -1, np.int64)
-        for k, r in enumerate(rows):
-            table[k, : len(r)] = r[: SPAN + 1]
-        theta = _trained(held.value, np.maximum(table[:, :-1], 0), table[:, 1:], passes, rate) * np.float32(len(rows))
+        n = sum(map(len, rows))
+        theta = _trained(held.value, rows, end, rate) * np.float32(n)
         parts = [theta[k : k + width] for k in range(0, len(theta), width)]
         salt = TaskContext.get().partitionId() % 32
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([salt] * len(parts), pa.int32()), pa.array([len(rows)] * len(parts), pa.int64()), pa.array([p.astype(np.float32).tobytes() for p in parts], pa.binary())], names=["part", "salt", "n", "sum"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([salt] * len(parts), pa.int32()), pa.array([n] * len(parts), pa.int64()), pa.array([p.astype(np.float32).tobytes() for p in parts], pa.binary())], names=["part", "salt", "n", "sum"])
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(len(table.column("sum")[0].as_py()) // 4)
@@ -318,26 +377,28 @@ def _average(windows: DataFrame, net: Net, passes: int, rate: float) -> Net:
         return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "salt": pa.array([0], pa.int32()), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "sum": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
     schema = "part int, salt int, n bigint, sum binary"
-    some = windows.select("ids").mapInArrow(run, schema).groupBy("part", "salt").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema)
+    some = texts.select("ids").mapInArrow(run, schema).groupBy("part", "salt").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema)
     got = sorted(some.collect(), key=lambda r: r.part)
     return net.like(np.concatenate([np.frombuffer(bytes(r["sum"]), np.float32) / r.n for r in got])) if got else net
 
 
-def train(docs: DataFrame, text: str = "text", windows_a_task: int = 6000) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, text: str = "text", tokens_a_task: int = 700_000) -> tuple[Model, DataFrame]:
     """(model, counts of all words) from all texts of docs; null texts count as empty ones, whose only token is the end.
 
-    Every text gives ROUNDS windows of SPAN words, so the network's training data grow with the input; a task trains on
-    about windows_a_task of them, and the mean over tasks goes on to the next round.
+    The network learns from every token of every text. A task trains on about tokens_a_task of them, and the mean over
+    tasks goes on to the next round. Without any text nothing is counted and the net stays as it begins.
     """
     counts = written(word_counts(docs, text), "counts")
     model = _statistics(counts)
     model.net = _start(model)
     held = docs.sparkSession.sparkContext.broadcast(model)  # HEAD words with their counts at most
-    windows = written(_windows(docs, held, text), "windows")
-    tasks = max(1, -(-windows.count() // (ROUNDS * windows_a_task)))
+    end = int(model.output[model.head[END.encode()]])
+    texts = written(_outputs(docs, held, text), "outputs")
+    tasks = max(1, -(-model.total // (ROUNDS * tokens_a_task)))
     for k in range(ROUNDS):
-        own = windows.where(F.col("round") == k).repartition(tasks, F.xxhash64("ids", F.rand(k)))
-        model.net = _average(own, model.net, 2, 0.01 / (1 + k))
+        own = texts.where(F.col("round") == k).repartition(tasks, F.xxhash64("ids", F.rand(k)))
+        model.net = _average(own, model.net, end, 0.02 / (1 + k))
+    dropped(texts)
     return model, counts
 
 
@@ -352,36 +413,31 @@ def _score_block(m: Model, texts: list[list[bytes]]) -> tuple[np.ndarray, np.nda
         numbers = m.numbers(words)
         inside = numbers[numbers >= 0]
         tails.append(Counter(words[i] for i in np.flatnonzero(numbers < 0).tolist()))
-        known[k] = len(inside) + 1
+        known[k] = len(inside) + (m.total > 0)
         base[k] = head_log[inside].sum() + head_log[end_number] - base_down * (len(words) + 1)
         out = m.outputs(words, numbers)
         other = out >= m.frequent
         if other.any():
             score[k] = -rest_down[out[other] - m.frequent].sum() + head_log[inside[m.output[inside] >= m.frequent]].sum()
         outs.append(out)
-    sizes = np.array([len(o) for o in outs])
-    order = np.argsort(-sizes, kind="stable")
     log_10 = np.log(10)
-    for begin in range(0, len(order), LANES):
-        lanes = order[begin : begin + LANES]
-        length = sizes[lanes]
-        y = np.full((len(lanes), length[0]), -1, np.int32)
-        for k, i in enumerate(lanes):
-            y[k, : length[k]] = outs[i]
-        h = np.zeros((len(lanes), HIDDEN), np.float32)
-        x = np.full(len(lanes), end)
-        for t0 in range(0, int(length[0]), STEPS):
-            states, wanted, lane = [], [], []
-            for t in range(t0, min(t0 + STEPS, int(length[0]))):
-                live = int(np.searchsorted(-length, -t, side="left"))  # lanes with more than t outputs
-                h, x = h[:live], x[:live]
-                h, *_ = _step(m.net, x, h)
-                states.append(h)
-                wanted.append(y[:live, t])
-                lane.append(np.arange(live))
-                x = y[:live, t]
-            p = _log_probability(m.net, np.concatenate(states), np.concatenate(wanted).astype(np.int64)) / log_10
-            score[lanes] += np.bincount(np.concatenate(lane), p, minlength=len(lanes))
+    lanes = _lanes(np.array([len(o) for o in outs]), LANES)
+    order = [i for lane in lanes for i in lane]
+    y, whose = np.concatenate([outs[i] for i in order]), np.repeat(order, [len(outs[i]) for i in order])
+    length = np.array([sum(len(outs[i]) for i in lane) for lane in lanes])
+    start = np.cumsum(length) - length
+    h, x = np.zeros((len(lanes), HIDDEN), np.float32), np.full(len(lanes), end)
+    for t0 in range(0, int(length[0]), STEPS):
+        states, places = [], []
+        for t in range(t0, min(t0 + STEPS, int(length[0]))):
+            live = int(np.searchsorted(-length, -t, side="left"))  # lanes with more than t outputs
+            x = x[:live]
+            h, *_ = _step(m.net, x, h[:live] * (x != end)[:, None])  # a text begins with the zero state
+            states.append(h)
+            places.append(start[:live] + t)
+            x = y[places[-1]]
+        at = np.concatenate(places)
+        score += np.bincount(whose[at], _log_probability(m.net, np.concatenate(states), y[at]) / log_10, minlength=len(texts))
     return known, base, score, tails
 
 
@@ -395,25 +451,29 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text")
     held = docs.sparkSession.sparkContext.broadcast(model)  # HEAD words and the net
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
     source = docs.drop("train_tokens", *(f.name for f in added))
-    tail = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("times", T.IntegerType())]))
+    row, tail, log, extra = free_names(source, "row", "tail", "log", "known")
+    kind = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("times", T.IntegerType())]))
     keep = [c for c in source.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, row = held.value, TaskContext.get().partitionId() << 33
-        kind = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int32())]))
+        m, number = held.value, TaskContext.get().partitionId() << 33
+        arrow = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int32())]))
         for batch in batches:
-            texts = [(x.as_py() or "").encode().lower().split() for x in batch.column(batch.schema.get_field_index(text))]
-            known, base, own, tails = _score_block(m, texts)
-            tails = [[{"word": w.decode(), "times": n} for w, n in t.items()] for t in tails]
-            new = [pa.array([len(w) + 1 for w in texts], pa.int64()), pa.array(known), pa.array(base), pa.array(own), pa.array(range(row, row + len(texts)), pa.int64()), pa.array(tails, kind)]
-            row += len(texts)
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), *new], names=[*keep, *(f.name for f in added), "_row", "_tail"])
-
-    schema = T.StructType([*(source.schema[c] for c in keep), *added, T.StructField("_row", T.LongType()), T.StructField("_tail", tail)])
+            done = 0
+            for some in blocks(column_texts(batch, text), len(batch), BLOCK_CHARS):
+                texts = [(x or "").encode().lower().split() for x in some]
+                known, base, own, tails = _score_block(m, texts)
+                lists = pa.array([[{"word": w.decode(), "times": n} for w, n in t.items()] for t in tails], arrow)
+                new = [pa.array([len(w) + 1 for w in texts], pa.int64()), pa.array(known), pa.array(base), pa.array(own), pa.array(range(number, number + len(texts)), pa.int64()), lists]
+                part = batch.slice(done, len(texts))
+                number, done = number + len(texts), done + len(texts)
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in keep), *new], names=[*keep, *(f.name for f in added), row, tail])
+
+    schema = T.StructType([*(source.schema[c] for c in keep), *added, T.StructField(row, T.LongType()), T.StructField(tail, kind)])
     part = written(source.mapInArrow(run, schema), "scores")
-    words = part.select("_row", F.inline("_tail"))
+    words = part.select(F.col(row), F.inline(tail))
     rare = counts.where(F.col("n") < model.least)
-    found = words.join(rare, "word", "left").groupBy("_row").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("_log"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("_known"))
-    joined = part.drop("_tail").join(found, "_row", "left")
-    more = F.coalesce("_log", F.lit(0.0))
-    return joined.select(*keep, "n_tokens", (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(model.total).cast("bigint").alias("train_tokens"), (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+    found = words.join(rare, "word", "left").groupBy(row).agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias(log), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias(extra))
+    joined = part.drop(tail).join(found, row, "left")
+    more = F.coalesce(F.col(log), F.lit(0.0))
+    return joined.select(*(F.col(f"`{c}`") for c in keep), "n_tokens", (F.col("n_known") + F.coalesce(F.col(extra), F.lit(0))).alias("n_known"), F.lit(model.total).cast("bigint").alias("train_tokens"), (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"))

@@ -3,10 +3,12 @@
 A naive Bayes classifier over hashed words, fitted on labelled rows, gives each document soft memberships in domains.
 Rates r >= min_rate for the documents then minimise, with w the documents' shares of all tokens and p their memberships,
 
-    1/2 (sum w p r - g t)' M^-1 (sum w p r - g t) + ridge/2 sum w (r - 1)^2,   M = sum w p p' + ridge I,
+    1/2 (sum w p r - g t)' M^-1 (sum w p r - g t) + ridge/2 sum w (r - 1)^2,   M = sum w p p' + ridge I.
 
-by projected gradient steps: each pass sums one vector over the domains, so the driver sees a handful of numbers, and a
-document's rate follows from its memberships and those vectors alone.
+The gradient of a document's rate is the same for all documents but for p, so each round of projected gradient descent
+sets r = max(min_rate, 1 - p' l) with one number l for each domain, sums one vector and one small matrix over the table
+and moves l along the gradient, scaled by the curvature of the rates that are not at the bound; a step that would lead
+down is shortened towards the plain one, which cannot.
 """
 
 from __future__ import annotations
@@ -17,10 +19,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, written
+from .common import free_names, labelled_sample, written
 
-#: Word buckets of the classifier, the words' weight in all at most, and the smoothing of its counts.
-BITS, EVIDENCE, SMOOTHING = 13, 96.0, 0.5
+#: Word buckets of the classifier, the power of a text's length by which its evidence grows, the smoothing of its counts.
+BITS, TEMPER, SMOOTHING = 13, 0.75, 0.5
 
 
 def _buckets(text: Column) -> Column:
@@ -62,57 +64,103 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 def posteriors(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with n_tokens (words) and a membership p_<domain> for each domain; they sum to 1.
 
-    The log-likelihood counts as that of EVIDENCE words at most, so that long documents stay soft. A null or empty
-    text has no words and the priors as memberships.
+    Words of one text are no independent evidence, so the log-likelihood of n words is scaled to that of n ** TEMPER. A
+    null or empty text has no words and the priors as memberships.
     """
     names = [f"p_{d}" for d in model.domains]
     base = docs.drop("n_tokens", *names)
-    marked = base.withColumns({"_b": _buckets(F.col(text)), "_t": model.table.scalar()})
+    b, t, *sums = free_names(base, "b", "t", *(f"s{k}" for k in range(len(names))))
+    marked = base.withColumns({b: _buckets(F.col(text)), t: model.table.scalar()})
 
     def likelihood(k: int) -> Column:
-        return F.aggregate("_b", F.lit(0.0), lambda a, b: a + F.get(F.get("_t", F.lit(k)), b))
+        return F.aggregate(b, F.lit(0.0), lambda a, x: a + F.get(F.get(t, F.lit(k)), x))
 
-    sums = [likelihood(k) for k in range(len(names))]
-    scored = marked.select(*base.columns, F.size("_b").cast("bigint").alias("n_tokens"), *(s.alias(f"_s{k}") for k, s in enumerate(sums)))
-    scale = F.least(F.lit(1.0), F.lit(EVIDENCE) / F.greatest(F.col("n_tokens"), F.lit(1)))
-    scored = scored.withColumns({f"_s{k}": F.col(f"_s{k}") * scale + float(np.log(p)) for k, p in enumerate(model.prior)})
-    most = F.greatest(*(F.col(f"_s{k}") for k in range(len(names)))) if len(names) > 1 else F.col("_s0")
-    scored = scored.withColumns({f"_s{k}": F.exp(F.col(f"_s{k}") - most) for k in range(len(names))})
-    total = sum((F.col(f"_s{k}") for k in range(len(names))), F.lit(0.0))
-    return scored.withColumns({c: F.col(f"_s{k}") / total for k, c in enumerate(names)}).drop(*(f"_s{k}" for k in range(len(names))))
+    scored = marked.select(*(F.col(f"`{c}`") for c in base.columns), F.size(b).cast("bigint").alias("n_tokens"), *(likelihood(k).alias(c) for k, c in enumerate(sums)))
+    scale = F.pow(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double"), F.lit(TEMPER - 1))
+    scored = scored.withColumns({c: F.col(c) * scale + float(np.log(p)) for c, p in zip(sums, model.prior)})
+    most = F.greatest(*sums) if len(sums) > 1 else F.col(sums[0])
+    scored = scored.withColumns({c: F.exp(F.col(c) - most) for c in sums})
+    total = sum((F.col(c) for c in sums), F.lit(0.0))
+    return scored.withColumns({name: F.col(c) / total for c, name in zip(sums, names)}).drop(*sums)
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float], growth: float = 1.0, min_rate: float = 0.0, ridge: float = 1e-3, rounds: int = 40) -> DataFrame:
-    """members (n_tokens and p_<domain>) with `rate`: how often each document is to be used, min_rate at least.
+@dataclass
+class Rates:
+    """What fit_rates found: the shares of the expected tokens, how far the farthest is from its target, and l."""
+
+    shares: dict[str, float]
+    gap: float
+    rounds: int
+    slope: list[float]
+    min_rate: float
+
+    def of(self, members: DataFrame) -> Column:
+        rate = 1 - sum((F.col(f"p_{d}") * x for d, x in zip(self.shares, self.slope)), F.lit(0.0))
+        return F.when(F.col("n_tokens") > 0, F.greatest(F.lit(self.min_rate), rate)).otherwise(F.lit(max(1.0, self.min_rate)))
+
+
+def find_rates(members: DataFrame, targets: dict[str, float], growth: float = 1.0, min_rate: float = 0.0, ridge: float = 1e-6, most_gap: float | None = 0.005, rounds: int = 60) -> Rates:
+    """Rates for members (n_tokens and p_<domain> for each domain of targets).
 
     The expected token total of each domain, sum of rate * n_tokens * p, comes as near as it can to growth * all tokens
-    * its target; targets are scaled to sum to 1. Documents without words get max(1, min_rate). An empty table gives
-    no rows. `members` is read once a round, so it should be a written table.
+    * its target; targets are scaled to sum to 1. If a share of the expected tokens misses its target by over most_gap
+    that is an error, unless most_gap is None. An empty table needs no rates. `members` is read once a round, so it
+    should be a written table.
     """
-    names = [c for c in members.columns if c.startswith("p_")]
-    t = np.array([targets.get(c[2:], 0.0) for c in names])
-    if t.sum() <= 0:
-        raise ValueError("no target above 0")
-    t = growth * t / t.sum()
+    names = [f"p_{d}" for d in targets]
+    t = np.array(list(targets.values()), float)
+    if t.sum() <= 0 or (t < 0).any():
+        raise ValueError("targets must not be negative, and one must be above 0")
+    t /= t.sum()
     d = len(names)
     cells = [(i, j) for i in range(d) for j in range(i, d)]
-    first = members.agg(F.sum("n_tokens"), *(F.sum(F.col("n_tokens") * F.col(names[i]) * F.col(names[j])) for i, j in cells)).first()
-    total = float(first[0] or 0)
-    rate: Column = F.lit(1.0)
-    if total:
-        m = ridge * np.eye(d)
-        for (i, j), x in zip(cells, first[1:]):
-            m[i, j] = m[j, i] = x / total + (ridge if i == j else 0.0)
-        whiten, step = np.linalg.inv(m), 1 / (1 + ridge)
-        for _ in range(rounds):
-            sums = members.agg(*(F.sum(F.col("n_tokens") * F.col(c) * rate) for c in names)).first()
-            apart = np.array([float(x) for x in sums]) / total - t
-            if np.abs(apart).max() < 1e-6:
-                break
-            pull = whiten @ apart
-            slope = sum((F.col(c) * float(x) for c, x in zip(names, pull)), F.lit(0.0))
-            rate = F.greatest(F.lit(float(min_rate)), rate * (1 - step * ridge) + step * ridge - slope * step)
-    return members.withColumn("rate", F.when(F.col("n_tokens") > 0, rate).otherwise(F.lit(max(1.0, min_rate))))
+    total = float(members.agg(F.sum("n_tokens")).first()[0] or 0)
+    if not total:
+        return Rates(dict.fromkeys(targets, 0.0), 0.0, 0, [0.0] * d, min_rate)
+
+    whole = ridge * np.eye(d)
+
+    def at(l: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """At the rates of l: the height of the dual problem, its gradient, sum of w p r, sum of w p p' off the bound."""
+        fall = sum((F.col(c) * float(x) for c, x in zip(names, l)), F.lit(0.0))
+        rate, w = F.greatest(F.lit(float(min_rate)), 1 - fall), F.col("n_tokens")
+        free = w * (1 - fall >= min_rate).cast("double")
+        height = F.sum(w * (F.pow(rate - 1, F.lit(2.0)) / 2 + fall * rate))
+        got = members.agg(height, *(F.sum(F.col(c) * w * rate) for c in names), *(F.sum(F.col(names[i]) * F.col(names[j]) * free) for i, j in cells)).first()
+        tokens, m = np.array(got[1 : 1 + d], float) / total, np.zeros((d, d))
+        for (i, j), x in zip(cells, got[1 + d :]):
+            m[i, j] = m[j, i] = x / total
+        pull = ridge * whole @ l
+        return got[0] / total - growth * t @ l - pull @ l / 2, tokens - growth * t - pull, tokens, m
+
+    sums = members.agg(*(F.sum(F.col(names[i]) * F.col(names[j]) * F.col("n_tokens")) for i, j in cells)).first()
+    for (i, j), x in zip(cells, sums):
+        whole[i, j] = whole[j, i] = x / total + ridge * (i == j)
+    l, k, damp = np.zeros(d), 1, 0.0
+    height, slope, tokens, curve = at(l)
+    while np.abs(slope).max() > 1e-7 and k < rounds:
+        ahead = l + np.linalg.solve(curve + (ridge + damp) * whole, slope)
+        found = at(ahead)
+        k += 1
+        if found[0] >= height:
+            l, (height, slope, tokens, curve), damp = ahead, found, damp / 10 if damp > 1e-6 else 0.0
+        elif damp >= 1:  # such a step cannot fall but by rounding
+            break
+        else:
+            damp = min(1.0, max(1e-4, damp * 10))
+    shares = tokens / tokens.sum()
+    gap = float(np.abs(shares - t).max())
+    if most_gap is not None and gap > most_gap:
+        raise RuntimeError(f"after {k} rounds a domain's share misses its target by {gap:.4f}: {dict(zip(targets, shares.tolist()))}")
+    return Rates(dict(zip(targets, shares.tolist())), gap, k, l.tolist(), float(min_rate))
+
+
+def fit_rates(members: DataFrame, targets: dict[str, float], **options) -> DataFrame:
+    """members with `rate`, as find_rates has it: how often each document is to be used, min_rate at least.
+
+    Documents without words get max(1, min_rate). An empty table gives no rows.
+    """
+    return members.withColumn("rate", find_rates(members, targets, **options).of(members))
 
 
 def copies(rate: Column, *key: Column) -> Column:

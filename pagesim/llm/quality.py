@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import labelled_sample
-from .features import blocks, column_texts, counts, doc_ngrams, half
+from .features import blocks, calibrated, column_texts, counts, doc_ngrams, half
 
 WORD_BITS, GRAM_BITS, NGRAM, WINDOW = 12, 13, 3, 8
 FEATURES = (1 << WORD_BITS) + (1 << GRAM_BITS)
@@ -44,11 +44,18 @@ def repeated_words(hashes: np.ndarray) -> int:
     window = np.zeros(n, np.uint64)
     for k in range(WINDOW):
         window += hashes[k : k + n] * _MIX[k]
-    ordered = np.sort(window)
-    twice = ordered[1:][ordered[1:] == ordered[:-1]]
-    if not len(twice):
+    order = np.argsort(window, kind="stable")
+    same = window[order][1:] == window[order][:-1]
+    if not same.any():
         return 0
-    at = np.flatnonzero(np.isin(window, twice))
+    a, b = order[:-1][same], order[1:][same]
+    if all((hashes[a + k] == hashes[b + k]).all() for k in range(WINDOW)):
+        at = np.unique(np.concatenate((a, b)))
+    else:  # different windows of one sum
+        found: dict[bytes, list[int]] = {}
+        for k in range(n):
+            found.setdefault(hashes[k : k + WINDOW].tobytes(), []).append(k)
+        at = np.array([k for places in found.values() if len(places) > 1 for k in places], np.int64)
     cover = np.zeros(len(hashes) + 1, np.int64)
     np.add.at(cover, at, 1)
     np.add.at(cover, at + WINDOW, -1)
@@ -106,28 +113,14 @@ def _fit(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray,
     return Model(theta[:-1], float(theta[-1]))
 
 
-def _calibrate(model: Model, raw: np.ndarray, y: np.ndarray) -> None:
-    """Platt's scaling by Newton steps, towards targets that are kept off 0 and 1."""
-    positive, negative = y.sum(), len(y) - y.sum()
-    if not positive or not negative:
-        return
-    target = np.where(y > 0, (positive + 1) / (positive + 2), 1 / (negative + 2))
-    ab = np.array([1.0, 0.0])
-    x = np.stack((raw, np.ones_like(raw)))
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(ab @ x, -50, 50)))
-        step = np.linalg.solve((x * (p * (1 - p))) @ x.T + 1e-6 * np.eye(2), x @ (p - target))
-        ab -= np.clip(step, -2, 2)
-    model.scale, model.shift = map(float, ab)
-
-
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", per_label: int = 1500) -> Model:
     """Model of P(label = 1) from a sample bounded by per_label rows of each label (0 and 1; others teach nothing).
 
     The sample is drawn from the narrow label table, so only its few rows meet the texts. Half of it, by hash of the
-    id, fits the weights, the other half calibrates. Without rows of both labels every text gets the share of ones.
+    id, fits the weights, the other half calibrates, each row weighing as many labelled rows as it stands for. Without rows of both labels every text gets the share of ones.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.min(label).cast("int").alias("y"))
+    true = dict(map(tuple, known.groupBy("y").count().collect()))
     sample = labelled_sample(known, "y", per_label, ["doc_id"])
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")  # 2 * per_label rows
 
@@ -157,7 +150,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     inside = part[doc] == 0
     fit_rows = np.cumsum(part == 0) - 1
     model = _fit(fit_rows[doc[inside]], feature[inside], value[inside], y[part == 0])
-    _calibrate(model, model.raw(doc, feature, value, len(y))[part == 1], y[part == 1])
+    raw, back = model.raw(doc, feature, value, len(y)), part == 1
+    stands = np.array([true.get(k, 0) / max(1, int((y == k).sum())) for k in (0, 1)])
+    model.scale, model.shift = calibrated(raw[back], y[back], stands[y[back]])
     return model
 
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, free_names, salted_join, written
 
 #: Eight bytes in two halves; of any five bytes three lie in one half, so a pair that shares five bytes shares a triple.
 TRIPLES = [(0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3), (4, 5, 6), (4, 5, 7), (4, 6, 7), (5, 6, 7)]
@@ -72,6 +72,19 @@ def close_pairs(fps: DataFrame, most: int = 3) -> DataFrame:
     return pairs.where((first == F.col("k")) & (tally >= 8 - most) & (F.bit_count(differ) <= most)).select("a", "b")
 
 
+def _groups(docs: DataFrame, doc_id: str, text: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash and fp of each row; fp, times and its component's least (no id, doc_id, text_hash))."""
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    marked = with_fingerprint(narrow.withColumn("text_hash", F.xxhash64("text"))).select("doc_id", "text_hash", "fp")
+    marked = written(marked, "fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    nodes = marked.groupBy("fp").agg(F.min(place).alias("least"), F.count("*").alias("times"))
+    parts = components(close_pairs(nodes.select("fp"), most))
+    joined = nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "times", "least", F.coalesce("component", "fp").alias("component"))
+    smallest = joined.groupBy("component").agg(F.min("least").alias("smallest"))
+    return marked, written(joined.join(smallest, "component").select("fp", "times", "smallest"), "groups")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = 3) -> DataFrame:
     """One row per row of docs: doc_id, fp (signed), component_id (smallest doc_id reachable over links).
 
@@ -79,21 +92,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     smallest id (null if there is none); repeated rows stay repeated; an empty table gives no rows; further columns
     of docs are not read. Equal fingerprints are one node, so a group of copies costs one row after a partial sum.
     """
-    marked = with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "fp")
-    marked = written(marked, "fingerprints")
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    parts = components(close_pairs(nodes.select("fp"), most))
-    joined = nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    return marked.join(joined.select("fp", "component").join(smallest, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    marked, groups = _groups(docs, doc_id, text, most)
+    return salted_join(marked, groups, ["fp"], "times", "doc_id").select("doc_id", "fp", F.col("smallest.doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = 3) -> DataFrame:
-    """The rows of docs whose id is the smallest of its near-duplicate group; all columns stay.
+    """The row of docs with the smallest id of each near-duplicate group; all columns stay.
 
-    Of repeated rows with that id one stays. Rows without an id stay only where their whole group has none, one for
-    each fingerprint text.
+    Of several texts with that id the one with the least hash stays, of repeated rows one. A row without an id stays
+    only where its whole group has none.
     """
-    found = near_duplicates(docs, doc_id, text, most).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(found, docs[doc_id].eqNullSafe(found["_id"]), "left_semi")
+    _, groups = _groups(docs, doc_id, text, most)
+    key, own = free_names(docs, "id", "hash")
+    found = groups.select(F.col("smallest.doc_id").alias(key), F.col("smallest.text_hash").alias(own)).distinct()
+    kept = docs.join(found, F.col(doc_id).eqNullSafe(F.col(key)) & (F.xxhash64(F.col(text)) == F.col(own)), "left_semi")
     return kept.dropDuplicates([doc_id, text])

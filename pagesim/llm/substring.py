@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import dropped, free_names, salted_join, written
 
 #: A cut is a place whose hash, of the last 8 bytes, is the least of the AROUND places on either side, so nothing but the
 #: bytes around it matters. Where texts repeat with a short period all its least places are cuts, MIN bytes apart or more.
@@ -51,16 +51,16 @@ def _digests(raw: bytes) -> list[int]:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """doc_id and `digests` (signed 64-bit) of the chunks of each whole text, in order; docs: doc_id, text."""
+    """doc_id, text_hash and `digests` (signed 64-bit) of the chunks of each whole text, in order; docs: doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.array(_digests((x.as_py() or "").encode()), np.uint64).view(np.int64) for x in batch.column(1)]
+            found = [np.array(_digests((x.as_py() or "").encode()), np.uint64).view(np.int64) for x in batch.column(2)]
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
             flat = np.concatenate(found) if found else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))], names=["doc_id", "digests"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))], names=["doc_id", "text_hash", "digests"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, digests array<bigint>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id bigint, text_hash bigint, digests array<bigint>")
 
 
 def _runs(places: list[int], ends: list[int], least: int) -> list[tuple[int, int]]:
@@ -93,18 +93,24 @@ def dedupe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: i
 
     A chunk is shared if a document with another id has it; it is removed from every document but the one with the
     least id. Spans are runs of such chunks of `least` bytes or more, so shifts by insertions and chance matches of
-    single chunks do not matter. A chunk that repeats in one document only is left alone. Null texts give null and no
-    spans, empty ones no spans; rows with a null id count as one document with the lowest id; repeated rows are treated
+    single chunks do not matter. A chunk that repeats under one id only is left alone, also in different texts with that
+    id. Null texts give null and no spans, empty ones no spans; a null id counts as the lowest; repeated rows are treated
     alike; other columns stay as they are, those called like a result are replaced.
     """
     lowest = F.lit(-(1 << 63)).cast("bigint")
     keyed = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), lowest).alias("doc_id"), F.col(text).alias("text"))
-    places = written(chunks(keyed), "chunks").select("doc_id", F.posexplode("digests").alias("k", "digest"))
+    cut = written(chunks(keyed).distinct(), "chunks")
+    places = cut.select("doc_id", "text_hash", F.posexplode("digests").alias("k", "digest"))
     # only sums of a fixed size meet for a digest, however many documents have it
-    first = places.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    found = places.join(first.select("digest", "first"), "digest").groupBy("doc_id").agg(F.collect_list("k").alias("_shared"), F.collect_list(F.when(F.col("doc_id") > F.col("first"), F.col("k"))).alias("_later"))
+    first = written(places.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("times")).where("first < last").drop("last"), "shared")
+    met = salted_join(places, first, ["digest"], "times", "text_hash")
+    later = F.when(F.col("doc_id") > F.col("first"), F.col("k"))
+    found = written(met.groupBy("doc_id", "text_hash").agg(F.collect_list("k").alias("shared"), F.collect_list(later).alias("later")), "found")
+    dropped(cut, first)
     source = docs.drop("shared_spans", "removed_spans", out)
-    joined = source.join(found.withColumnRenamed("doc_id", "_id"), F.coalesce(source[doc_id].cast("bigint"), lowest) == F.col("_id"), "left").drop("_id")
+    key, own, marked, gone = free_names(source, "id", "hash", "shared", "later")
+    same = (F.coalesce(F.col(doc_id).cast("bigint"), lowest) == F.col(key)) & (F.xxhash64(F.col(text)) == F.col(own))
+    joined = source.join(found.toDF(key, own, marked, gone), same, "left").drop(key, own)
     span = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))
     added = [T.StructField("shared_spans", span), T.StructField("removed_spans", span), T.StructField(out, T.StringType())]
     arrow = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
@@ -113,7 +119,7 @@ def dedupe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: i
         for batch in batches:
             names = batch.schema.names
             shared, removed, texts = [], [], []
-            for t, s, x in zip(*(batch.column(names.index(c)) for c in (text, "_shared", "_later"))):
+            for t, s, x in zip(*(batch.column(names.index(c)) for c in (text, marked, gone))):
                 t, s, x = t.as_py(), s.as_py() or [], x.as_py() or []
                 if not t or not s:
                     spans: list[list[tuple[int, int]]] = [[], []]
@@ -125,7 +131,7 @@ def dedupe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: i
                 shared.append([{"begin": a, "end": b} for a, b in spans[0]])
                 removed.append([{"begin": a, "end": b} for a, b in spans[1]])
                 texts.append(t)
-            keep = [k for k, c in enumerate(names) if c not in ("_shared", "_later")]
+            keep = [k for k, c in enumerate(names) if c not in (marked, gone)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(shared, arrow), pa.array(removed, arrow), pa.array(texts, pa.string())], names=[*(names[k] for k in keep), *(f.name for f in added)])
 
     return joined.mapInArrow(run, T.StructType([*source.schema.fields, *added]))

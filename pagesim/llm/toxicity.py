@@ -1,155 +1,135 @@
-"""Toxicity: nearest labelled examples by exact TF-IDF cosine over a block-max inverted index, with calibrated votes."""
+"""Toxicity: nearest labelled examples by exact TF-IDF cosine over a block-max inverted index, with calibrated votes.
+
+All terms of a text count: words, word beginnings for unseen forms of a stem, and words found twice or thrice. A term's
+weight is its TF-IDF times 1 + GAIN * sqrt(I), where I is the information that its presence gives on the label among the
+examples; so examples are near for what tells labels apart, and any two texts still have a cosine over all their terms.
+"""
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import labelled_sample
-from .features import column_texts, half
+from .features import calibrated, column_texts, half
 
-#: Terms are words without the marks around them and, for unseen forms of a stem, word beginnings of these lengths.
-STEMS, BLOCK, NEIGHBOURS = (3, 4, 5, 6, 7, 8), 64, 15
+#: Terms fall into 2**BITS hash buckets. Lengths of word beginnings, counts that give another term, examples in a block.
+BITS, STEMS, LEVELS, BLOCK, NEIGHBOURS, GAIN = 18, (4, 6), (2, 3), 32, 15, 50.0
 _MARKS = ".,;:!?\"'()[]{}<>|*#$%&-_=+/\\~`"
-REMEMBERED, LEVELS = 200_000, (2, 3, 5)
-
-
-def _terms_of_words(words: Iterable[str]) -> Iterator[str]:
-    for w in words:
-        w = w.strip(_MARKS)
-        if w:
-            yield w
-            for n in STEMS:
-                if len(w) > n:
-                    yield w[:n] + "*"
+REMEMBERED = 300_000
 
 
-class _Telling(dict):
-    """The terms of each word, those of `only` if given, worked out once."""
+class _Terms(dict):
+    """The buckets of each word and its beginnings, worked out once."""
 
-    def __init__(self, only: set[str] | None = None, limit: int = 5 * REMEMBERED):
-        super().__init__()
-        self.only, self.limit = only, limit
-
-    def __missing__(self, word: str) -> tuple[str, ...]:
-        if len(self) > self.limit:
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > REMEMBERED:
             self.clear()
-        t = self[word] = tuple(x for x in _terms_of_words((word,)) if self.only is None or x in self.only)
+        w = word.strip(_MARKS)
+        names = [w, *(w[:n] + "*" for n in STEMS if len(w) > n)] if w else []
+        t = self[word] = tuple(xxhash.xxh64_intdigest(x) >> (64 - BITS) for x in names)
         return t
 
 
-def terms(text: str | None, telling: _Telling) -> Counter[str]:
-    """Terms of the whole text, lower-cased, with how often they occur; terms found twice or thrice also give others."""
-    found: Counter[str] = Counter()
-    for w in text.lower().split() if text else ():
-        for t in telling[w]:
-            found[t] += 1
-    for t, n in list(found.items()):
-        for least in LEVELS:
-            if n >= least:
-                found[f"{t} {least}"] = n
-    return found
-
+def terms(text: str | None, known: _Terms) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, counts) of the terms of the whole text, lower-cased, buckets ascending."""
+    flat = np.fromiter(chain.from_iterable(map(known.__getitem__, text.lower().split() if text else ())), np.int64)
+    bucket, count = np.unique(flat, return_counts=True)
+    more = [((bucket[count >= n] * 2654435761 + n) >> 7 & ((1 << BITS) - 1), count[count >= n]) for n in LEVELS]
+    if not sum(len(b) for b, _ in more):
+        return bucket, count
+    bucket, back = np.unique(np.concatenate((bucket, *(b for b, _ in more))), return_inverse=True)
+    return bucket, np.bincount(back, np.concatenate((count, *(n for _, n in more)))).astype(np.int64)
 
-def telling_terms(texts: list[str | None], y: np.ndarray, at_most: int = 4000, least: float = 40.0) -> dict[str, int]:
-    """Numbers of the terms whose presence tells the labels apart: the largest G statistics with a lift over 4.
 
-    Texts are taken apart one at a time, and of label 0 only the terms count that label 1 has often enough.
-    """
-    n1, n0 = int(y.sum()), int(len(y) - y.sum())
-    telling = _Telling(limit=20_000)
-    with1: Counter[str] = Counter()
-    for text, label in zip(texts, y):
-        if label:
-            with1.update(terms(text, telling).keys())
-    with1 = Counter({t: a for t, a in with1.items() if a >= 5})
-    with0: Counter[str] = Counter()
-    for text, label in zip(texts, y):
-        if not label:
-            with0.update(t for t in terms(text, telling) if t in with1)
-
-    def g(a: int, b: int) -> float:
-        share = (a + b) / (n1 + n0)
-        cells = ((a, n1 * share), (b, n0 * share), (n1 - a, n1 * (1 - share)), (n0 - b, n0 * (1 - share)))
-        return 2 * sum(o * np.log(o / e) for o, e in cells if o)
-
-    scored = [(g(a, with0[t]), t) for t, a in with1.items() if a * n0 > 4 * (with0[t] + 0.5) * n1]
-    return {t: k for k, (_, t) in enumerate(sorted((x for x in scored if x[0] >= least), key=lambda x: (-x[0], x[1]))[:at_most])}
+def information(vectors: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Of each bucket's presence on the label, in nats, both labels weighing the same; vectors: the buckets of each text."""
+    share = []
+    for label in (0, 1):
+        found = [v for v, own in zip(vectors, y) if own == label]
+        n = np.bincount(np.concatenate(found), minlength=1 << BITS) if found else np.zeros(1 << BITS)
+        share.append((n + 0.5) / (len(found) + 1))
+    mean = (share[0] + share[1]) / 2
+    total = sum(a * np.log(a / m) for s in share for a, m in ((s, mean), (1 - s, 1 - mean))) / 2
+    return np.maximum(total, 0)
 
 
 @dataclass
 class Index:
-    """Postings by block of BLOCK examples; bounds[t, b] is the largest weight of term t in block b."""
+    """Postings of the examples' terms, by term and within a term by example; bounds[t, b]: the largest weight in block b."""
 
-    numbers: dict[str, int]
-    idf: np.ndarray
+    weight: np.ndarray  # of each bucket
     labels: np.ndarray
     ids: np.ndarray
     prior: float
-    plain: set[str] = field(default_factory=set)  # the terms of single words that the numbered ones are made of
+    row: np.ndarray = field(default_factory=lambda: np.full(1 << BITS, -1, np.int32))  # of a bucket, -1: no example has it
     bounds: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
-    postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = field(default_factory=list)
+    begin: np.ndarray = field(default_factory=lambda: np.zeros((0, 1), np.int32))  # of the postings of a term in each block
+    example: np.ndarray = field(default_factory=lambda: np.empty(0, np.int16))
+    value: np.ndarray = field(default_factory=lambda: np.empty(0, np.float64))
     scale: float = 1.0
     shift: float = 0.0
 
-    def vector(self, found: Counter[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(term numbers, weights of length 1) of a text's telling terms."""
-        own = sorted((self.numbers[t], n) for t, n in found.items() if t in self.numbers)
-        t = np.array([k for k, _ in own], np.int64)
-        w = (1 + np.log(np.array([n for _, n in own], np.float64))) * self.idf[t] if own else np.empty(0)
-        return t, w / max(1e-12, float(np.sqrt((w * w).sum())))
+    def vector(self, found: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(buckets, weights of length 1) of a text's terms."""
+        bucket, count = found
+        w = (1 + np.log(count)) * self.weight[bucket]
+        return bucket, w / max(1e-12, float(np.sqrt(w @ w)))
 
     def add(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        for begin in range(0, len(vectors), BLOCK):
-            lists: dict[int, tuple[list, list]] = {}
-            for k, (t, w) in enumerate(vectors[begin : begin + BLOCK]):
-                for a, b in zip(t.tolist(), w.tolist()):
-                    at, weight = lists.setdefault(a, ([], []))
-                    at.append(k)
-                    weight.append(b)
-            self.postings.append({t: (np.array(at), np.array(w)) for t, (at, w) in lists.items()})
-        self.bounds = np.zeros((len(self.numbers), len(self.postings)))
-        for b, block in enumerate(self.postings):
-            for t, (_, w) in block.items():
-                self.bounds[t, b] = w.max()
-
-    def nearest(self, t: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        sizes = [len(b) for b, _ in vectors]
+        bucket = np.concatenate([b for b, _ in vectors]) if vectors else np.empty(0, np.int64)
+        value = np.concatenate([w for _, w in vectors]) if vectors else np.empty(0)
+        example = np.repeat(np.arange(len(vectors)), sizes)
+        order = np.lexsort((example, bucket))
+        bucket, self.value, self.example = bucket[order], value[order], example[order].astype(np.int32)
+        known, term = np.unique(bucket, return_inverse=True)
+        self.row = np.full(1 << BITS, -1, np.int32)
+        self.row[known] = np.arange(len(known))
+        blocks = -(-len(vectors) // BLOCK)
+        place = term * blocks + self.example // BLOCK
+        self.begin = np.searchsorted(place, np.arange(len(known) * blocks + 1)).astype(np.int32)
+        self.bounds = np.zeros(len(known) * blocks)
+        np.maximum.at(self.bounds, place, self.value)
+        self.bounds = self.bounds.reshape(len(known), blocks)
+
+    def nearest(self, bucket: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a cosine over 0; ties go to the earlier example.
 
-        Blocks are visited in descending order of their bound, and no further once it is below the k-th best cosine.
+        Blocks are visited in descending order of their bound, a few at a time, and no further once it is below the k-th
+        best cosine.
         """
-        if not len(t) or not self.postings:
+        row = self.row[bucket]
+        row, w = row[row >= 0], w[row >= 0]
+        blocks = self.bounds.shape[1] if self.bounds.ndim == 2 else 0
+        if not len(row) or not blocks:
             return np.empty(0, np.int64), np.empty(0)
-        bound = w @ self.bounds[t]
-        found, cosine, least = [np.empty(0, np.int64)], [np.empty(0)], 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < least - 1e-12:
-                break
-            sums = np.zeros(BLOCK)
-            for term, weight in zip(t.tolist(), w.tolist()):
-                if term in self.postings[b]:
-                    at, own = self.postings[b][term]
-                    sums[at] += weight * own
-            at = np.flatnonzero(sums > 0)
-            at = at[at + b * BLOCK != without]
-            found, cosine = [np.concatenate((*found, at + b * BLOCK))], [np.concatenate((*cosine, sums[at]))]
-            if len(cosine[0]) > k:
-                best = np.lexsort((found[0], -cosine[0]))[:k]
-                found, cosine = [found[0][best]], [cosine[0][best]]
-            if len(cosine[0]) == k:
-                least = float(cosine[0].min())
-        best = np.lexsort((found[0], -np.round(cosine[0], 12)))
-        return found[0][best], cosine[0][best]
+        bound = w @ self.bounds[row]
+        by_bound = np.argsort(-bound, kind="stable")
+        sums, done, least = np.zeros(blocks * BLOCK), 0, 0.0
+        while done < blocks and bound[by_bound[done]] > 0 and bound[by_bound[done]] >= least - 1e-12:
+            some = by_bound[done : done + 4]
+            place = (row[:, None].astype(np.int64) * blocks + some).ravel()
+            begin, size = self.begin[place], self.begin[place + 1] - self.begin[place]
+            at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - begin, size)
+            sums += np.bincount(self.example[at], np.repeat(np.repeat(w, len(some)), size) * self.value[at], minlength=len(sums))
+            done += 4
+            if done * BLOCK >= k:
+                least = float(np.partition(sums, len(sums) - k)[len(sums) - k]) if len(sums) > k else 0.0
+        best = np.lexsort((np.arange(len(sums)), -np.round(sums, 12)))[:k]
+        best = best[sums[best] > 0]
+        return best, sums[best]
 
     def vote(self, examples: np.ndarray, cosine: np.ndarray) -> float:
-        """Share of label 1 among the neighbours, each by 1 / distance, beside one vote of the prior."""
+        """Log odds of the share of label 1 among the neighbours, each by 1 / distance, beside one vote of the prior."""
         weight = cosine / (1.05 - np.minimum(cosine, 1.0))
         share = (float((weight * self.labels[examples]).sum()) + self.prior) / (float(weight.sum()) + 1.0)
         share = min(max(share, 1e-4), 1 - 1e-4)
@@ -159,92 +139,89 @@ class Index:
         return float(1 / (1 + np.exp(-np.clip(self.scale * vote + self.shift, -50, 50))))
 
 
-def document_frequencies(docs: DataFrame, numbers: dict[str, int], text: str = "text") -> tuple[int, np.ndarray]:
-    """(texts, texts that have each numbered term) over all rows of docs; a task sends a count a term at most."""
-    held = docs.sparkSession.sparkContext.broadcast(numbers)  # at most `at_most` terms
+def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[int, np.ndarray]:
+    """(texts, texts that have each bucket) over all rows of docs; a task sends a count a bucket at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = held.value, Counter()
-        telling = _Telling({t.split(" ")[0] for t in known})
+        known, n, total = _Terms(), 0, np.zeros(1 << BITS, np.int64)
         for batch in batches:
             for t in column_texts(batch, text):
-                total[-1] += 1
-                total.update(known[x] for x in terms(t, telling) if x in known)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
+                total[terms(t, known)[0]] += 1
+                n += 1
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(total[at], n))], names=["bucket", "n"])
 
-    found = dict(map(tuple, docs.select(text).mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n")).collect()))
-    return found.get(-1, 0), np.array([found.get(k, 0) for k in range(len(numbers))], np.float64)
+    got = docs.select(text).mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # 2**BITS rows at most
+    df = np.zeros((1 << BITS) + 1, np.int64)
+    df[got.column("bucket").to_numpy()] = got.column("n").to_numpy()  # the last one is the count of texts
+    return int(df[-1]), df[:-1]
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = 2000) -> Index:
     """Index of labelled examples from a sample bounded by per_label rows of each label (0 and 1; others teach nothing).
 
-    Half of the sample, by hash of the id, is indexed; the other half calibrates the votes. Document frequencies cover
-    all rows of docs. Rows without id or label teach nothing; an empty sample gives every text an even score.
+    Half of the sample, by hash of the id, is indexed; the other half calibrates the votes, each row weighing as many
+    labelled rows as it stands for, so that scores follow the labels' true shares. Document frequencies cover all rows of
+    docs. Copies of a text count once. Rows without id or label teach nothing; an empty sample gives an even score.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
-    sample = labelled_sample(known, "y", per_label, ["doc_id"])
+    true = dict(map(tuple, known.groupBy("y").count().collect()))
+    sample = F.broadcast(labelled_sample(known, "y", per_label, ["doc_id"]))  # 2 * per_label ids
     every = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = every.join(F.broadcast(sample), "doc_id").select("doc_id", half(F.col("doc_id")).alias("part"), "y", "text").collect()  # 2 * per_label texts
-    rows.sort(key=lambda r: (r.doc_id, r.text or ""))
-    once = {r.text or "": r for r in reversed(rows)}  # copies would vote, and tell terms, many times
-    rows = [r for r in rows if once.get(r.text or "") is r]
-    y = np.array([r.y for r in rows], np.int64)
-    numbers = telling_terms([r.text for r in rows], y)
-    plain = {t.split(" ")[0] for t in numbers}
-    telling = _Telling(plain)
-    own = [terms(r.text, telling) for r in rows]
-    n, df = document_frequencies(every, numbers)
-    indexed = [k for k, r in enumerate(rows) if r.part == 0]
-    share = float(y.mean()) if len(y) else 0.5
-    index = Index(numbers, np.log((1 + n) / (1 + df)) + 1, y[indexed], np.array([rows[k].doc_id for k in indexed], np.int64), share, plain)
+    rows = every.join(sample, "doc_id").select("doc_id", half(F.col("doc_id")).alias("part"), "y", F.xxhash64("text").alias("h"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _Terms()
+        for batch in batches:
+            found = [terms(t, own) for t in column_texts(batch, "text")]
+            offsets = pa.array(np.cumsum([0, *(len(b) for b, _ in found)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([x[k] for x in found] or [np.empty(0)]), pa.int32())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *lists], names=["doc_id", "part", "y", "h", "bucket", "n"])
+
+    got = rows.mapInArrow(run, "doc_id bigint, part int, y int, h bigint, bucket array<int>, n array<int>").toArrow()  # 2 * per_label lists
+    got = got.sort_by([("doc_id", "ascending"), ("h", "ascending")])
+    first: dict[int, int] = {}
+    for k, h in enumerate(got.column("h").to_pylist()):
+        first.setdefault(h, k)
+    got = got.take(pa.array(list(first.values()), pa.int64()))
+    ids, part, y = (got.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "part", "y"))
+    own = [(np.asarray(b.values, np.int64), np.asarray(c.values, np.int64)) for b, c in zip(got.column("bucket"), got.column("n"))]
+    n, df = document_frequencies(every)
+    indexed = np.flatnonzero(part == 0)
+    gain = 1 + GAIN * np.sqrt(information([own[k][0] for k in indexed], y[indexed])) if len(indexed) else 1.0
+    index = Index((np.log((1 + n) / (1 + df)) + 1) * gain, y[indexed], ids[indexed], float(y.mean()) if len(y) else 0.5)
     index.add([index.vector(own[k]) for k in indexed])
-    rest = [k for k, r in enumerate(rows) if r.part == 1]
+    rest = np.flatnonzero(part == 1)
     votes = np.array([index.vote(*index.nearest(*index.vector(own[k]))) for k in rest])
-    index.scale, index.shift = _platt(votes, y[rest])
+    stands = np.array([true.get(k, 0) / max(1, int((y == k).sum())) for k in (0, 1)])
+    index.scale, index.shift = calibrated(votes, y[rest], stands[y[rest]])
     return index
 
 
-def _platt(votes: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Scale and shift of a logistic curve from votes to probabilities, by Newton steps."""
-    if not len(y) or y.min() == y.max():
-        return 1.0, 0.0
-    target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
-    x, ab = np.stack((votes, np.ones(len(votes)))), np.array([1.0, 0.0])
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(ab @ x, -50, 50)))
-        ab -= np.clip(np.linalg.solve((x * (p * (1 - p))) @ x.T + 1e-6 * np.eye(2), x @ (p - target)), -1, 1)
-    return float(ab[0]), float(ab[1])
-
-
 def score(docs: DataFrame, index: Index, text: str = "text", threshold: float = 0.7) -> DataFrame:
     """docs with score (probability of label 1), predicted (1 if score >= threshold) and evidence (example ids, cosines).
 
-    Null and empty texts, and texts without telling terms, have no neighbours and get the score of the prior's vote.
-    Whole texts are read; rows, repeated ones too, and other columns stay as they are; columns already called like a
-    result are replaced.
+    Null and empty texts have no terms, so no neighbours, and get the score of the prior's vote. Whole texts are read;
+    rows, repeated ones too, and other columns stay as they are; columns already called like a result are replaced.
     """
-    held = docs.sparkSession.sparkContext.broadcast(index)  # per_label * 2 sparse rows over at most `at_most` terms
+    held = docs.sparkSession.sparkContext.broadcast(index)  # 2 * per_label sparse rows at most
     kind = T.ArrayType(T.StructType([T.StructField("example", T.LongType()), T.StructField("cosine", T.DoubleType())]))
     added = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", kind)]
-    source = docs.drop(*(f.name for f in added))
+    source = docs.drop(*(f.name for f in added if f.name != text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = held.value, {}
-        telling = _Telling(own.plain)
+        own, known = held.value, _Terms()
         for batch in batches:
-            results = []
+            p, found = [], []
             for t in column_texts(batch, text):
-                found = terms(t, telling)
-                key = tuple(sorted(found.items()))
-                if key not in known:
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                    at, cosine = own.nearest(*own.vector(found))
-                    p = own.probability(own.vote(at, cosine))
-                    known[key] = p, int(p >= threshold), [{"example": int(i), "cosine": float(c)} for i, c in zip(own.ids[at], cosine)]
-                results.append(known[key])
-            new = [pa.array([r[k] for r in results], kind) for k, kind in enumerate((pa.float64(), pa.int32(), pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64())]))))]
+                at, cosine = own.nearest(*own.vector(terms(t, known)))
+                p.append(own.probability(own.vote(at, cosine)))
+                found.append((own.ids[at], cosine))
+            offsets = pa.array(np.cumsum([0, *(len(c) for _, c in found)]), pa.int32())
+            flat = [np.concatenate([x[k] for x in found] or [np.empty(0)]) for k in (0, 1)]
+            pairs = pa.StructArray.from_arrays([pa.array(flat[0].astype(np.int64)), pa.array(flat[1].astype(np.float64))], names=["example", "cosine"])
+            p = np.array(p, np.float64)
+            new = [pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.ListArray.from_arrays(offsets, pairs)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *(f.name for f in added)])
 
     return source.mapInArrow(run, T.StructType([*source.schema.fields, *added]))

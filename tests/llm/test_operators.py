@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pagesim.llm import bpe, langid, linedup, lm, media, mixing, quality, queries, simhash, substring, toxicity
 from pagesim.llm.common import components
+from pagesim.llm.features import calibrated
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id bigint, text string"
@@ -200,6 +201,19 @@ def test_linedup_takes_odd_rows(spark, docs):
     assert [r.text for r in got if r.doc_id == 25] == ["one", "one"]
 
 
+# Rows that share an id
+def test_texts_that_share_an_id_keep_their_own(spark):
+    rng = random.Random(17)
+    a, b, c = (prose(rng, 150) for _ in range(3))
+    rows = [(1, a), (5, a), (5, b), (None, c), (None, b + " " + a), (7, None), (7, None)]
+    got = {(r.doc_id, r.text): r for r in substring.dedupe(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[5, b].removed_spans and got[5, b].deduped != b  # the row without an id comes first and has it
+    assert got[None, c].deduped == c and not got[None, c].shared_spans and got[7, None].deduped is None
+    assert len(got[1, a].deduped) < 40 and len(got[5, a].deduped) < 40 and got[None, b + " " + a].deduped == b + " " + a
+    kept = simhash.keep_first(spark.createDataFrame([(1, a), (5, a), (5, b), (5, b), (None, a), (None, c)], SCHEMA)).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(1, a), (5, b), (None, c)])
+
+
 # Substring dedup
 def test_cuts_come_back_after_an_insertion():
     rng = random.Random(4)
@@ -308,19 +322,64 @@ def test_quality_on_labelled_rows(spark):
 
 
 # Toxicity
-def test_nearest_equals_brute_force():
-    rng = np.random.default_rng(2)
-    index = toxicity.Index({str(k): k for k in range(40)}, np.ones(40), rng.integers(0, 2, 500), np.arange(500), 0.1)
-    vectors = [index.vector(Counter(map(str, rng.integers(0, 40, rng.integers(0, 6))))) for _ in range(500)]
-    index.add(vectors)
-    dense = np.zeros((500, 40))
-    for k, (t, w) in enumerate(vectors):
-        dense[k, t] = w
-    for t, w in vectors[:60]:
-        q = np.zeros(40)
-        q[t] = w
-        want = np.sort((dense @ q)[dense @ q > 0])[::-1][: toxicity.NEIGHBOURS]
-        assert np.allclose(index.nearest(t, w)[1], want)
+def plain_terms(text):
+    found = Counter()
+    for w in (text or "").lower().split():
+        w = w.strip(toxicity._MARKS)
+        for x in [w, *(w[:n] + "*" for n in toxicity.STEMS if len(w) > n)] if w else []:
+            found[xxhash.xxh64_intdigest(x) >> (64 - toxicity.BITS)] += 1
+    for b, n in list(found.items()):
+        for least in toxicity.LEVELS:
+            if n >= least:
+                found[(b * 2654435761 + least) // 128 % (1 << toxicity.BITS)] += n
+    return found
+
+
+def test_toxicity_scores_are_those_of_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(k, prose(rng, rng.choice([0, 1, 5, 60])) + (" idiot clown idiots" * rng.randrange(1, 3) if k % 6 == 0 else "")) for k in range(400)] + [(500, None), (501, "zzz")]
+    labels = {k: int(k % 6 == 0) for k in range(400) if k % 2 == 0}
+    docs = spark.createDataFrame(rows, SCHEMA)
+    index = toxicity.train(docs, spark.createDataFrame(list(labels.items()), "doc_id bigint, toxic int"))
+    got = {r.doc_id: r for r in toxicity.score(docs, index).collect()}
+    bags = {i: plain_terms(t) for i, t in rows}
+    df = Counter(b for bag in bags.values() for b in bag)
+    examples, y = index.ids.tolist(), [labels[i] for i in index.ids.tolist()]
+    assert examples == sorted(examples) and index.labels.tolist() == y and len(examples) > 40
+    n = [y.count(0), y.count(1)]
+
+    def weight(b):
+        p = [(sum(b in bags[i] for i, own in zip(examples, y) if own == label) + 0.5) / (n[label] + 1) for label in (0, 1)]
+        m = sum(p) / 2
+        info = sum(q * math.log(q / m) + (1 - q) * math.log((1 - q) / (1 - m)) for q in p) / 2
+        return (math.log((1 + len(rows)) / (1 + df[b])) + 1) * (1 + toxicity.GAIN * math.sqrt(max(0, info)))
+
+    weights = {b: weight(b) for b in df}
+
+    def vector(bag):
+        v = {b: (1 + math.log(k)) * weights[b] for b, k in bag.items()}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        return {b: x / length for b, x in v.items()}
+
+    table = [vector(bags[i]) for i in examples]
+    for i, _ in rows:
+        v = vector(bags[i])
+        cosine = np.array([sum(x * e.get(b, 0) for b, x in v.items()) for e in table])
+        near = [k for k in np.lexsort((np.arange(len(table)), -np.round(cosine, 12)))[: toxicity.NEIGHBOURS] if cosine[k] > 0]
+        assert [e.example for e in got[i].evidence] == [examples[k] for k in near] and np.allclose([e.cosine for e in got[i].evidence], cosine[near])
+        w = [cosine[k] / (1.05 - min(1, cosine[k])) for k in near]
+        share = min(max((sum(x for x, k in zip(w, near) if y[k]) + index.prior) / (sum(w) + 1), 1e-4), 1 - 1e-4)
+        assert math.isclose(got[i].score, 1 / (1 + math.exp(-(index.scale * math.log(share / (1 - share)) + index.shift))), rel_tol=1e-6)
+        assert got[i].predicted == (got[i].score >= 0.7)
+
+
+def test_calibration_follows_the_true_shares():
+    rng = np.random.default_rng(3)
+    raw = np.concatenate((rng.normal(-1, 1, 2000), rng.normal(1, 1, 2000)))
+    y = np.repeat([0, 1], 2000)
+    scale, shift = calibrated(raw, y, np.where(y == 1, 1.0, 19.0))  # in truth one row in twenty
+    x = np.concatenate((rng.normal(-1, 1, 19000), rng.normal(1, 1, 1000)))
+    assert abs((1 / (1 + np.exp(-scale * x - shift))).mean() - 0.05) < 0.01
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -345,18 +404,43 @@ def test_mixing_reaches_the_targets(spark):
     model = mixing.train(docs, queries.domain_labels(spark.read.parquet("/root/testdata/sf0.01/labels.parquet")))
     members = mixing.posteriors(docs, model).drop("text").persist()
     for least, growth, targets in ((0.0, 1.0, {"good": 0.9, "poor": 0.07, "toxic": 0.03}), (1.0, 1.5, {"good": 0.8, "poor": 0.15, "toxic": 0.05})):
-        got = mixing.fit_rates(members, targets, growth, least).toPandas()
+        got = mixing.fit_rates(members, targets, growth=growth, min_rate=least, most_gap=None).toPandas()
         p = got[[f"p_{d}" for d in model.domains]].to_numpy()
         assert np.allclose(p.sum(axis=1), 1) and got.rate.min() >= least
         w = got.n_tokens.to_numpy() / got.n_tokens.sum()
         t = growth * np.array([targets[d] for d in model.domains])
         assert np.abs((p * (w * got.rate.to_numpy())[:, None]).sum(axis=0) - t).max() < 0.01
         # no feasible step of the objective's gradient changes the rates: they are the least-squares solution
-        m = (p * w[:, None]).T @ p + 1e-3 * np.eye(len(t))
-        slope = p @ np.linalg.solve(m, (p * (w * got.rate.to_numpy())[:, None]).sum(axis=0) - t) + 1e-3 * (got.rate.to_numpy() - 1)
+        m = (p * w[:, None]).T @ p + 1e-6 * np.eye(len(t))
+        slope = p @ np.linalg.solve(m, (p * (w * got.rate.to_numpy())[:, None]).sum(axis=0) - t) + 1e-6 * (got.rate.to_numpy() - 1)
         assert np.abs(np.maximum(least, got.rate.to_numpy() - slope) - got.rate.to_numpy()).max() < 0.05
 
 
+def test_mixing_fits_soft_members_and_says_when_it_cannot(spark):
+    p = np.random.default_rng(5).dirichlet([9.0, 0.7, 0.3], 2000)
+    members = spark.createDataFrame([(k, 100 + k % 50, *map(float, x), 12345.0) for k, x in enumerate(p)], "doc_id bigint, n_tokens bigint, p_a double, p_b double, p_c double, p_zip double").persist()
+    for targets in ({"a": 0.6, "b": 0.2, "c": 0.2}, {"a": 5.0, "b": 3.0, "c": 2.0}):
+        found = mixing.find_rates(members, targets, most_gap=1e-4)
+        got = mixing.fit_rates(members, targets, most_gap=1e-4).toPandas()
+        shares = (got[["p_a", "p_b", "p_c"]].to_numpy() * (got.n_tokens * got.rate).to_numpy()[:, None]).sum(axis=0)
+        assert got.rate.min() >= 0 and found.gap < 1e-4
+        assert np.allclose(shares / shares.sum(), np.array(list(targets.values())) / sum(targets.values()), atol=1e-4)
+    with pytest.raises(RuntimeError, match="misses its target"):
+        mixing.find_rates(members, {"a": 0.0, "b": 0.0, "c": 1.0}, min_rate=1.0)
+
+
+def test_mixing_posteriors_are_those_of_naive_bayes(spark, docs):
+    labels = {k: "ab"[k % 2] for k in range(8)}
+    model = mixing.train(docs, spark.createDataFrame(list(labels.items()), "doc_id bigint, domain string"))
+    bucket = lambda w: xxhash.xxh64_intdigest(w.encode(), 42) >> (64 - mixing.BITS)
+    counts = {d: Counter(bucket(w) for i, t in odd_rows() if labels.get(i) == d for w in WORD.findall(t)) for d in "ab"}
+    for r in mixing.posteriors(docs.withColumns({"b": F.lit(1), "t": F.lit(2), "s0": F.lit(3)}), model).collect():
+        words = WORD.findall(r.text or "")
+        scale = max(1, len(words)) ** (mixing.TEMPER - 1)
+        logs = [math.log(0.5) + scale * sum(math.log((counts[d][bucket(w)] + mixing.SMOOTHING) / (sum(counts[d].values()) + mixing.SMOOTHING * 2**mixing.BITS)) for w in words) for d in "ab"]
+        assert math.isclose(r.p_a, 1 / (1 + math.exp(min(700, logs[1] - logs[0]))), rel_tol=1e-6, abs_tol=1e-9) and (r.b, r.t, r.s0) == (1, 2, 3)
+
+
 def test_mixing_takes_odd_rows(spark, docs):
     labels = spark.createDataFrame([(k, "ab"[k % 2]) for k in range(8)] + [(None, "a"), (9, None)], "doc_id bigint, domain string")
     model = mixing.train(docs, labels)
@@ -389,6 +473,36 @@ def test_lm_base_is_exact_and_the_net_does_better(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_lm_scores_are_those_of_a_plain_loop(spark):
+    rng = random.Random(12)
+    rows = [(k, prose(rng, rng.choice([1, 3, 40, 200]))) for k in range(30)] + [(40, None), (41, ""), (42, prose(rng, 9000)), (43, "unseen zebra")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model, counts = lm.train(docs.where("doc_id < 25"))
+    c = Counter(w for i, t in rows if i < 25 for w in [*(t or "").encode().lower().split(), b"\n"])
+    m, end = model, int(model.output[model.head[b"\n"]])
+    for r in lm.score(docs.withColumn("original", F.col("text")), model, counts).collect():
+        h, x, total = np.zeros((1, lm.HIDDEN), np.float32), end, 0.0
+        for w in [*(r.original or "").encode().lower().split(), b"\n"]:
+            h, *_ = lm._step(m.net, np.array([x]), h)
+            x = int(m.output[m.head[w]]) if w in m.head else m.frequent + lm._rest(w)
+            total += float(lm._log_probability(m.net, h, np.array([x]))[0]) / math.log(10)
+            if x >= m.frequent:
+                total += math.log10((c[w] + 1) / (m.rest_total[x - m.frequent] + m.rest_types[x - m.frequent] + 1))
+        assert math.isclose(r.score, total, rel_tol=1e-4)
+
+
+def test_lm_learns_every_token_and_nothing_from_nothing(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm, "_gradient", lambda net, x, y, fresh, h0, out: (seen.append((x, y, fresh)), h0)[1])
+    texts = [np.array([*range(1, n), 0]) for n in (1, 2, 60, 25, 24, 500)] * 40
+    lm._trained(lm._start(lm.Model(1, 1, {}, 1, np.ones(600, np.int64), np.arange(600), np.zeros(lm.REST), np.zeros(lm.REST))), texts, 0, 0.01)
+    assert sum((y >= 0).sum() for _, y, _ in seen) == sum(map(len, texts)) and sum((f & (y >= 0)).sum() for _, y, f in seen) == len(texts)
+    assert all((x[(y > 0) & ~f] == y[(y > 0) & ~f] - 1).all() for x, y, f in seen)
+    model, counts = lm.train(empty(spark))
+    got = lm.score(spark.createDataFrame([(1, "some words"), (2, None)], SCHEMA), model, counts).collect()
+    assert all((r.base_score, r.n_known, r.train_tokens) == (0.0, 0, 0) and r.score < 0 for r in got)
+
+
 def test_lm_probabilities_sum_to_one_and_gradient_is_right():
     words = [(b"\n", 50)] + [(b"w%d" % k, 40 - k // 10) for k in range(300)]
     first = 128
@@ -404,17 +518,20 @@ def test_lm_probabilities_sum_to_one_and_gradient_is_right():
     del m
     x, y = np.random.default_rng(3).integers(0, 128, (2, 3, 5))
     y[0, 4] = -1
+    fresh, h0 = np.zeros((3, 5), bool), np.random.default_rng(4).normal(0, 1, (3, lm.HIDDEN))
+    fresh[1, 2] = fresh[2, 0] = True  # texts that begin in a lane
 
     def loss(net):
-        h, total = np.zeros((3, lm.HIDDEN)), 0.0
+        h, total = h0, 0.0
         for t in range(5):
-            h, *_ = lm._step(net, x[:, t], h)
+            h, *_ = lm._step(net, x[:, t], h * ~fresh[:, t, None])
             ok = y[:, t] >= 0
             total -= lm._log_probability(net, h[ok], y[ok, t]).sum()
         return total / (y >= 0).sum()
 
     small = small.like(small.flat())
-    g = lm._gradient(small, x, y)
+    g = small.like(np.zeros(small.flat().size))
+    lm._gradient(small, x, y, fresh, h0, g)
     flat, own = small.flat().astype(np.float64), g.flat()
     for k in [int(i) for i in np.argsort(-np.abs(own))[:12]]:
         up, down = flat.copy(), flat.copy()
