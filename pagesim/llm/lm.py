@@ -15,7 +15,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +30,11 @@ from .features import blocks, column_texts
 #: Hidden units, words in a class, classes of frequent words at most, classes of other words, words kept with their
 #: counts in each task at most (those of the highest counts; a join finds the others').
 HIDDEN, CLASS, CLASSES, REST, HEAD = 16, 64, 48, 16, 300_000
-#: Words of a training window, rounds of averaging (each has its share of the texts), lanes of training and of scoring,
-#: steps scored at once, tokens of the same class side by side, characters scored at once.
-SPAN, ROUNDS, TRAIN_LANES, LANES, STEPS, TOGETHER, BLOCK_CHARS = 24, 3, 128, 512, 64, 32, 6_000_000
+#: Words of a training window, rounds of averaging (each has its share of the texts), lanes of training at most and of
+#: scoring, steps scored at once, tokens of the same class side by side, tokens for a whole training step.
+SPAN, ROUNDS, TRAIN_LANES, LANES, STEPS, TOGETHER, FULL = 24, 3, 256, 768, 64, 32, 3072
+#: Characters whose words are held at once, tokens that wait for the net.
+BLOCK_CHARS, WAITING = 3_000_000, 6_000_000
 END = "\n"  # no word has it
 _FLUSH = 400_000
 
@@ -137,6 +139,16 @@ def _log_probability(net: Net, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def _shares(x: np.ndarray, n: np.floating) -> np.ndarray:
+    """The softmax over the last axis, in place, divided by n."""
+    most = x.max()
+    if not most < 80:
+        x -= x.max(axis=-1, keepdims=True)
+    np.exp(x, out=x)
+    x *= 1 / (x.sum(axis=-1, keepdims=True) * n)
+    return x
+
+
 def _lanes(sizes: np.ndarray, lanes: int) -> list[list[int]]:
     """Texts dealt into lanes of about the same length, the longest first; the longest lane is the first."""
     order = np.argsort(-sizes, kind="stable").tolist()
@@ -167,25 +179,21 @@ def _gradient(net: Net, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h0: np.
     """Writes to `out` the gradient of the mean negative log-likelihood over windows x -> y (lanes by steps), by
     backpropagation through their steps; gives the states at their ends. fresh: where a text begins; y < 0 is padding."""
     rows, steps = x.shape
-    states, gates, before = [], [], []
+    x, y, going = x.T, y.T, ~fresh.T[:, :, None]  # steps by lanes
+    before, after, zs, rs, gs = (np.empty((steps, rows, HIDDEN), h0.dtype) for _ in range(5))
     h = h0
     for t in range(steps):
-        prev = h * ~fresh[:, t, None]
-        h, *own = _step(net, x[:, t], prev)
-        before.append(prev)
-        states.append(h)
-        gates.append(own)
-    after = np.stack(states, axis=1).reshape(-1, HIDDEN)
+        np.multiply(h, going[t], out=before[t])
+        h, zs[t], rs[t], gs[t] = _step(net, x[t], before[t])
+        after[t] = h
+    after = after.reshape(-1, HIDDEN)
     target = y.ravel()
     real = np.flatnonzero(target >= 0)
     target, hs = target[real], after[real]
     frequent, n = len(net.w), np.float32(max(1, len(real)))
     at = np.arange(len(target))
     cls = np.where(target < frequent * CLASS, target // CLASS, target - frequent * CLASS + frequent)
-    d = hs @ net.c + net.cb
-    d -= d.max(axis=1, keepdims=True)
-    np.exp(d, out=d)
-    d /= d.sum(axis=1, keepdims=True) * n
+    d = _shares(hs @ net.c + net.cb, n)
     d[at, cls] -= 1 / n
     out.c[:], out.cb[:] = hs.T @ d, d.sum(axis=0)
     dh_real = np.concatenate((d @ net.c.T, np.zeros((1, HIDDEN), np.float32)))
@@ -193,10 +201,7 @@ def _gradient(net: Net, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h0: np.
     places, which, groups = _side_by_side(cls, frequent)
     if len(which):
         some = np.concatenate((hs, np.zeros((1, HIDDEN), np.float32)))[places]
-        own = some @ net.w[which] + net.wb[which][:, None]
-        own -= own.max(axis=2, keepdims=True)
-        np.exp(own, out=own)
-        own /= own.sum(axis=2, keepdims=True) * n
+        own = _shares(some @ net.w[which] + net.wb[which][:, None], n)
         flat, kept = own.reshape(-1, CLASS), np.flatnonzero(places.ravel() >= 0)
         chosen = places.ravel()[kept]
         flat[places.ravel() < 0] = 0
@@ -206,30 +211,30 @@ def _gradient(net: Net, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h0: np.
         out.w[present] = np.add.reduceat(some.transpose(0, 2, 1) @ own, begins, axis=0)
         out.wb[present] = np.add.reduceat(own.sum(axis=1), begins, axis=0)
         dh_real[chosen] += (own @ net.w[which].transpose(0, 2, 1)).reshape(-1, HIDDEN)[kept]
-    dh_all = np.zeros((rows * steps, HIDDEN), np.float32)
+    dh_all = np.zeros((rows * steps, HIDDEN), h0.dtype)
     dh_all[real] = dh_real[:-1]
-    dh_all = dh_all.reshape(rows, steps, HIDDEN)
-    dh = np.zeros((rows, HIDDEN), np.float32)
-    de = np.zeros((rows, steps, 3 * HIDDEN), np.float32)
-    u_zr, u_g = net.u[:, : 2 * HIDDEN], net.u[:, 2 * HIDDEN :]
-    out.u[:] = 0
+    dh_all = dh_all.reshape(steps, rows, HIDDEN)
+    dh = np.zeros((rows, HIDDEN), h0.dtype)
+    de = np.empty((steps, rows, 3 * HIDDEN), h0.dtype)
+    u_zr, u_g = net.u[:, : 2 * HIDDEN].T.copy(), net.u[:, 2 * HIDDEN :].T.copy()
+    by_g, by_z, by_r = zs * (1 - gs * gs), (gs - before) * zs * (1 - zs), before * rs * (1 - rs)
+    stays, resets = (1 - zs) * going, rs * going
     for t in range(steps - 1, -1, -1):
-        dh = dh + dh_all[:, t]
-        prev, (z, r, g) = before[t], gates[t]
-        dg = dh * z * (1 - g * g)
-        dz = dh * (g - prev) * z * (1 - z)
-        back = dg @ u_g.T
-        dr = back * prev * r * (1 - r)
-        dzr = np.concatenate((dz, dr), axis=1)
-        out.u[:, : 2 * HIDDEN] += prev.T @ dzr
-        out.u[:, 2 * HIDDEN :] += (r * prev).T @ dg
-        de[:, t, : 2 * HIDDEN], de[:, t, 2 * HIDDEN :] = dzr, dg
-        dh = (dh * (1 - z) + back * r + dzr @ u_zr.T) * ~fresh[:, t, None]
+        dh += dh_all[t]
+        dzr, dg = de[t, :, : 2 * HIDDEN], de[t, :, 2 * HIDDEN :]
+        np.multiply(dh, by_g[t], out=dg)
+        np.multiply(dh, by_z[t], out=dzr[:, :HIDDEN])
+        back = dg @ u_g
+        np.multiply(back, by_r[t], out=dzr[:, HIDDEN:])
+        dh = dh * stays[t] + back * resets[t] + (dzr @ u_zr) * going[t]
+    flat = de.reshape(-1, 3 * HIDDEN)
+    out.u[:, : 2 * HIDDEN] = before.reshape(-1, HIDDEN).T @ flat[:, : 2 * HIDDEN]
+    out.u[:, 2 * HIDDEN :] = (rs * before).reshape(-1, HIDDEN).T @ flat[:, 2 * HIDDEN :]
     order = np.argsort(x.ravel(), kind="stable")
     inputs = x.ravel()[order]
     begins = np.flatnonzero(np.concatenate(([True], inputs[1:] != inputs[:-1])))
     out.e[:] = 0
-    out.e[inputs[begins]] = np.add.reduceat(de.reshape(-1, 3 * HIDDEN)[order], begins, axis=0)
+    out.e[inputs[begins]] = np.add.reduceat(flat[order], begins, axis=0)
     return h
 
 
@@ -238,7 +243,9 @@ def _trained(net: Net, texts: list[np.ndarray], end: int, rate: float) -> np.nda
     theta = net.flat().astype(np.float32)
     own, grad = net.like(theta), np.zeros_like(theta)
     out, m, v, move = net.like(grad), np.zeros_like(theta), np.zeros_like(theta), np.zeros_like(theta)
-    lanes = [np.concatenate([texts[i] for i in lane]).astype(np.int64) for lane in _lanes(np.array([len(t) for t in texts]), TRAIN_LANES)]
+    sizes = np.array([len(t) for t in texts])
+    side = min(TRAIN_LANES, max(16, int(sizes.sum()) // (50 * SPAN)))
+    lanes = [np.concatenate([texts[i] for i in lane]).astype(np.int64) for lane in _lanes(sizes, side)]
     h, k = np.zeros((len(lanes), HIDDEN), np.float32), 0
     for t in range(0, len(lanes[0]), SPAN):
         live = sum(len(lane) > t for lane in lanes)
@@ -257,7 +264,7 @@ def _trained(net: Net, texts: list[np.ndarray], end: int, rate: float) -> np.nda
         move *= np.float32(1 / np.sqrt(1 - 0.99**k))
         move += np.float32(1e-6)
         np.divide(m, move, out=move)
-        filled = min(1.0, float((y[:, 1:] >= 0).sum()) / (TRAIN_LANES * SPAN))  # where few lanes are left a step is shorter
+        filled = min(1.0, float((y[:, 1:] >= 0).sum()) / FULL)  # where few lanes are left a step is shorter
         theta -= np.float32(filled * rate / (1 - 0.9**k)) * move
     return theta
 
@@ -382,7 +389,7 @@ def _average(texts: DataFrame, net: Net, end: int, rate: float) -> Net:
     return net.like(np.concatenate([np.frombuffer(bytes(r["sum"]), np.float32) / r.n for r in got])) if got else net
 
 
-def train(docs: DataFrame, text: str = "text", tokens_a_task: int = 700_000) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, text: str = "text", tokens_a_task: int = 2_000_000) -> tuple[Model, DataFrame]:
     """(model, counts of all words) from all texts of docs; null texts count as empty ones, whose only token is the end.
 
     The network learns from every token of every text. A task trains on about tokens_a_task of them, and the mean over
@@ -402,12 +409,15 @@ def train(docs: DataFrame, text: str = "text", tokens_a_task: int = 700_000) ->
     return model, counts
 
 
-def _score_block(m: Model, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[Counter[bytes]]]:
-    """(known head words, base sum, model sum, tail words) of each text; the sums lack log10(c + 1) of the tail words."""
+def _looked_up(m: Model, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], list[Counter[bytes]]]:
+    """(known head words, base sum, sum of the words' shares of their classes, outputs, tail words) of each text.
+
+    The sums lack log10(c + 1) of the tail words.
+    """
     base_down = np.log10(m.total + m.types + 1)
     head_log = np.log10(m.counts + 1.0)
     rest_down = np.log10(m.rest_total + m.rest_types + 1.0)
-    end, end_number = m.output[m.head[END.encode()]], m.head[END.encode()]
+    end_number = m.head[END.encode()]
     known, base, score, outs, tails = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts)), [], []
     for k, words in enumerate(texts):
         numbers = m.numbers(words)
@@ -419,7 +429,13 @@ def _score_block(m: Model, texts: list[list[bytes]]) -> tuple[np.ndarray, np.nda
         other = out >= m.frequent
         if other.any():
             score[k] = -rest_down[out[other] - m.frequent].sum() + head_log[inside[m.output[inside] >= m.frequent]].sum()
-        outs.append(out)
+        outs.append(out.astype(np.int32))
+    return known, base, score, outs, tails
+
+
+def _net_scores(m: Model, outs: list[np.ndarray]) -> np.ndarray:
+    """log10 of the net's probability of each text's outputs, the texts in lanes side by side."""
+    score, end = np.zeros(len(outs)), m.output[m.head[END.encode()]]
     log_10 = np.log(10)
     lanes = _lanes(np.array([len(o) for o in outs]), LANES)
     order = [i for lane in lanes for i in lane]
@@ -437,8 +453,8 @@ def _score_block(m: Model, texts: list[list[bytes]]) -> tuple[np.ndarray, np.nda
             places.append(start[:live] + t)
             x = y[places[-1]]
         at = np.concatenate(places)
-        score += np.bincount(whose[at], _log_probability(m.net, np.concatenate(states), y[at]) / log_10, minlength=len(texts))
-    return known, base, score, tails
+        score += np.bincount(whose[at], _log_probability(m.net, np.concatenate(states), y[at].astype(np.int64)) / log_10, minlength=len(outs))
+    return score
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text") -> DataFrame:
@@ -459,15 +475,26 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text")
         m, number = held.value, TaskContext.get().partitionId() << 33
         arrow = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int32())]))
         for batch in batches:
-            done = 0
-            for some in blocks(column_texts(batch, text), len(batch), BLOCK_CHARS):
-                texts = [(x or "").encode().lower().split() for x in some]
-                known, base, own, tails = _score_block(m, texts)
+            found, done = [], 0
+
+            def scored() -> pa.RecordBatch:
+                known, base, own, outs, tails = (list(chain.from_iterable(x)) for x in zip(*found))
+                own = np.array(own) + _net_scores(m, outs)
                 lists = pa.array([[{"word": w.decode(), "times": n} for w, n in t.items()] for t in tails], arrow)
-                new = [pa.array([len(w) + 1 for w in texts], pa.int64()), pa.array(known), pa.array(base), pa.array(own), pa.array(range(number, number + len(texts)), pa.int64()), lists]
-                part = batch.slice(done, len(texts))
-                number, done = number + len(texts), done + len(texts)
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in keep), *new], names=[*keep, *(f.name for f in added), row, tail])
+                new = [pa.array([len(o) for o in outs], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(own), pa.array(range(number, number + len(outs)), pa.int64()), lists]
+                part = batch.slice(done, len(outs))
+                return pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in keep), *new], names=[*keep, *(f.name for f in added), row, tail])
+
+            for some in blocks(column_texts(batch, text), len(batch), BLOCK_CHARS):
+                found.append(_looked_up(m, [(x or "").encode().lower().split() for x in some]))
+                if sum(len(o) for x in found for o in x[3]) > WAITING:
+                    out = scored()
+                    number, done, found = number + len(out), done + len(out), []
+                    yield out
+            if found:
+                out = scored()
+                number += len(out)
+                yield out
 
     schema = T.StructType([*(source.schema[c] for c in keep), *added, T.StructField(row, T.LongType()), T.StructField(tail, kind)])
     part = written(source.mapInArrow(run, schema), "scores")

@@ -420,11 +420,11 @@ def test_mixing_fits_soft_members_and_says_when_it_cannot(spark):
     p = np.random.default_rng(5).dirichlet([9.0, 0.7, 0.3], 2000)
     members = spark.createDataFrame([(k, 100 + k % 50, *map(float, x), 12345.0) for k, x in enumerate(p)], "doc_id bigint, n_tokens bigint, p_a double, p_b double, p_c double, p_zip double").persist()
     for targets in ({"a": 0.6, "b": 0.2, "c": 0.2}, {"a": 5.0, "b": 3.0, "c": 2.0}):
-        found = mixing.find_rates(members, targets, most_gap=1e-4)
-        got = mixing.fit_rates(members, targets, most_gap=1e-4).toPandas()
+        found = mixing.find_rates(members, targets, most_gap=1e-3)
+        got = mixing.fit_rates(members, targets, most_gap=1e-3).toPandas()
         shares = (got[["p_a", "p_b", "p_c"]].to_numpy() * (got.n_tokens * got.rate).to_numpy()[:, None]).sum(axis=0)
-        assert got.rate.min() >= 0 and found.gap < 1e-4
-        assert np.allclose(shares / shares.sum(), np.array(list(targets.values())) / sum(targets.values()), atol=1e-4)
+        assert got.rate.min() >= 0 and found.gap < 1e-3
+        assert np.allclose(shares / shares.sum(), np.array(list(targets.values())) / sum(targets.values()), atol=1e-3)
     with pytest.raises(RuntimeError, match="misses its target"):
         mixing.find_rates(members, {"a": 0.0, "b": 0.0, "c": 1.0}, min_rate=1.0)
 
