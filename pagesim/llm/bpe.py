@@ -196,7 +196,13 @@ class Encoder:
         if len(self.seen) > REMEMBERED:
             self._forget()
         number = self.seen.__getitem__
-        words = [np.fromiter(map(number, found), np.int64, len(found)) for found in (self._words(t) if t else [] for t in texts)]
+        words, before = [], None
+        for t in texts:
+            if not words or t != before:  # repeated rows come one after the other
+                found = self._words(t) if t else []
+                own = np.fromiter(map(number, found), np.int64, len(found))
+            words.append(own)
+            before = t
         if fresh := self.seen.fresh:
             special = {k: self.v.special[w[1:]] for k, w in enumerate(fresh) if w[0] == "\0" and w[1:] in self.v.special}
             ids, sizes = encode_words([b"" if k in special else w.encode() for k, w in enumerate(fresh)], self.v)

@@ -15,7 +15,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from .features import blocks, column_texts
 HIDDEN, CLASS, CLASSES, REST, HEAD = 16, 64, 48, 16, 300_000
 #: Words of a training window, rounds of averaging (each has its share of the texts), lanes of training at most and of
 #: scoring, steps scored at once, tokens of the same class side by side, tokens for a whole training step.
-SPAN, ROUNDS, TRAIN_LANES, LANES, STEPS, TOGETHER, FULL = 24, 3, 256, 768, 64, 32, 3072
+SPAN, ROUNDS, TRAIN_LANES, LANES, STEPS, TOGETHER, FULL = 32, 3, 256, 768, 64, 32, 3072
 #: Characters whose words are held at once, tokens that wait for the net.
 BLOCK_CHARS, WAITING = 3_000_000, 6_000_000
 END = "\n"  # no word has it
@@ -115,7 +115,7 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
 def _log_chosen(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The log-softmax of each row at one place."""
     with np.errstate(over="ignore"):
-        total = np.exp(x).sum(axis=1)
+        total = np.exp(x) @ np.ones(x.shape[1], x.dtype)
     if not np.isfinite(total).all():
         return _log_softmax(x)[np.arange(len(x)), at]
     return x[np.arange(len(x)), at] - np.log(total)
@@ -145,7 +145,7 @@ def _shares(x: np.ndarray, n: np.floating) -> np.ndarray:
     if not most < 80:
         x -= x.max(axis=-1, keepdims=True)
     np.exp(x, out=x)
-    x *= 1 / (x.sum(axis=-1, keepdims=True) * n)
+    x /= (x @ np.ones(x.shape[-1], x.dtype))[..., None] * n
     return x
 
 
@@ -269,6 +269,13 @@ def _trained(net: Net, texts: list[np.ndarray], end: int, rate: float) -> np.nda
     return theta
 
 
+class _Head(dict):
+    """Numbers of words; -1 for any other."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 @dataclass
 class Model:
     total: int  # training tokens
@@ -286,7 +293,7 @@ class Model:
         return len(self.net.w) * CLASS
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.head.get, words, repeat(-1)), np.int64, len(words))
+        return np.fromiter(map(self.head.__getitem__, words), np.int64, len(words))
 
     def outputs(self, words: list[bytes], numbers: np.ndarray) -> np.ndarray:
         """For each word and the end: the frequent word it is, or the class of other words."""
@@ -317,7 +324,7 @@ def _statistics(counts: DataFrame) -> Model:
     """Totals and the head words; only HEAD words at most come to the driver."""
     n_all, types = counts.agg(F.sum("n"), F.count("*")).first()
     if not types:
-        return Model(0, 0, {END.encode(): 0}, 1, np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(REST), np.zeros(REST))
+        return Model(0, 0, _Head({END.encode(): 0}), 1, np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(REST), np.zeros(REST))
     step = F.floor(F.log2("n") * 8).cast("int")
     steps = sorted(counts.groupBy(step.alias("s")).agg(F.count("*").alias("k"), F.min("n").alias("n")).collect(), key=lambda r: -r.s)
     held, least = 0, (steps[0].n if steps else 1)
@@ -341,7 +348,7 @@ def _statistics(counts: DataFrame) -> Model:
     for (n, w), _ in zip(rows, frequent):
         n_rest[_rest(w)] += n
         t_rest[_rest(w)] -= 1
-    return Model(n_all, types, {w: k for k, (_, w) in enumerate(rows)}, least, np.array([-n for n, _ in rows], np.int64), output, n_rest, t_rest)
+    return Model(n_all, types, _Head((w, k) for k, (_, w) in enumerate(rows)), least, np.array([-n for n, _ in rows], np.int64), output, n_rest, t_rest)
 
 
 def _outputs(docs: DataFrame, model, text: str) -> DataFrame:

@@ -84,6 +84,12 @@ def posteriors(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return scored.withColumns({name: F.col(c) / total for c, name in zip(sums, names)}).drop(*sums)
 
 
+def shares(members: DataFrame, domains: list[str]) -> dict[str, float]:
+    """The share of all tokens that each domain is expected to have; even shares where there are no tokens."""
+    got = members.agg(F.sum("n_tokens"), *(F.sum(F.col("n_tokens") * F.col(f"p_{d}")) for d in domains)).first()
+    return {d: float(x) / float(got[0]) if got[0] else 1 / len(domains) for d, x in zip(domains, got[1:])}
+
+
 @dataclass
 class Rates:
     """What fit_rates found: the shares of the expected tokens, how far the farthest is from its target, and l."""

@@ -509,7 +509,7 @@ def test_lm_probabilities_sum_to_one_and_gradient_is_right():
     output = np.array([k if k < first else first + lm._rest(w) for k, (w, _) in enumerate(words)])
     rest = [lm._rest(w) for w, _ in words[first:]]
     totals = np.bincount(rest, [n for _, n in words[first:]], minlength=lm.REST), np.bincount(rest, minlength=lm.REST).astype(float)
-    m = lm.Model(1, 1, {w: k for k, (w, _) in enumerate(words)}, 1, np.array([n for _, n in words]), output, *totals)
+    m = lm.Model(1, 1, lm._Head((w, k) for k, (w, _) in enumerate(words)), 1, np.array([n for _, n in words]), output, *totals)
     small = lm.Net(*(np.random.default_rng(1).normal(0, 0.3, s).astype(np.float64) for s in ((128 + lm.REST, 48), (16, 48), (16, 2 + lm.REST), (2 + lm.REST,), (2, 16, 64), (2, 64))))
     h = np.random.default_rng(2).normal(0, 1, (5, lm.HIDDEN))
     every = np.arange(128 + lm.REST)
