@@ -28,7 +28,7 @@ NEWER = (
     "1E6E7-1E6ED, 1E6F0-1E6F4, 1E6FE-1E6FF, 2B73A-2B73F, 2B81E, 2CEA2-2CEAD, 323B0-33479, 3D000-3FC3F"
 )
 #: Characters worked on at once, and words that a task remembers before it starts anew.
-BLOCK_CHARS, REMEMBERED = 1_500_000, 300_000
+BLOCK_CHARS, REMEMBERED = 1_000_000, 200_000
 
 
 def byte_letters() -> list[str]:

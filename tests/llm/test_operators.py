@@ -324,14 +324,15 @@ def test_quality_on_labelled_rows(spark):
 # Toxicity
 def plain_terms(text):
     found = Counter()
-    for w in (text or "").lower().split():
-        w = w.strip(toxicity._MARKS)
-        for x in [w, *(w[:n] + "*" for n in toxicity.STEMS if len(w) > n)] if w else []:
-            found[xxhash.xxh64_intdigest(x) >> (64 - toxicity.BITS)] += 1
+    for w in re.findall(rb"[^ \t-\r" + re.escape(toxicity._MARKS).encode() + rb"]+", (text or "").lower().encode()):
+        for k in (0, *(k for k in toxicity.STEMS if len(w) > k)):
+            h = sum(b * pow(toxicity.PRIME, i, 1 << 64) for i, b in enumerate(w[: k or len(w)])) + k * toxicity.SALT
+            h %= 1 << 64
+            found[((h ^ h >> 29) * toxicity.MIX % (1 << 64)) >> (64 - toxicity.BITS)] += 1
     for b, n in list(found.items()):
-        for least in toxicity.LEVELS:
+        for k, least in enumerate(toxicity.LEVELS, 1):
             if n >= least:
-                found[(b * 2654435761 + least) // 128 % (1 << toxicity.BITS)] += n
+                found[b + (k << toxicity.BITS)] = n
     return found
 
 
