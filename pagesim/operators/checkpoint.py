@@ -49,6 +49,19 @@ def input_digest(planned_urls: list[str], planned_inputs: list[dict[str, Any]])
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+class FetchedUrls:
+    """The URLs of a snapshot's pages; they stay in its table until they are asked for."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def __len__(self) -> int:
+        return self.spark.read.parquet(self.path).count()
+
+    def __iter__(self):
+        return (r.url for r in self.spark.read.parquet(self.path).select("url").toLocalIterator())
+
+
 class Checkpoint:
     """A snapshot of an audit in a folder that Spark can write to: pages as Parquet, and a manifest that names them.
 
@@ -72,15 +85,22 @@ class Checkpoint:
         return bool(self._numbers())
 
     def save(self, pages: DataFrame, config: dict[str, Any], planned_urls: list[str], planned_inputs: list[dict[str, Any]], start_url: str | None = None, start_time: float | None = None, crawl_mode: bool = False) -> None:
+        """A snapshot anew; the URLs fetched are those of its pages."""
         number = max(self._numbers(), default=0) + 1
         pages.write.mode("overwrite").parquet(f"{self.folder}/pages/{number}")
-        fetched = [r.url for r in self.spark.read.parquet(f"{self.folder}/pages/{number}").select("url").collect()]
-        state = {"schema_version": SCHEMA_VERSION, "start_url": start_url, "start_time": start_time or time.time(), "total_pages": len(planned_urls), "config": config, "crawl_mode": crawl_mode, "input_digest": input_digest(planned_urls, planned_inputs), "fetched_urls": fetched, "planned_urls": planned_urls, "planned_inputs": planned_inputs, "pages": number}
+        state = {"schema_version": SCHEMA_VERSION, "start_url": start_url, "start_time": start_time or time.time(), "total_pages": len(planned_urls), "config": config, "crawl_mode": crawl_mode, "input_digest": input_digest(planned_urls, planned_inputs), "planned_urls": planned_urls, "planned_inputs": planned_inputs, "pages": number}
         self.spark.createDataFrame([(json.dumps(state, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/manifest/{number}")
         for old in self._numbers()[:-1]:
             self._fs().delete(self._path(f"manifest/{old}"), True)
             self._fs().delete(self._path(f"pages/{old}"), True)
 
+    def add(self, pages: DataFrame) -> None:
+        """More pages for the newest snapshot; a write that breaks off leaves those before it as they were."""
+        state = self.load()
+        if state is None:
+            raise CheckpointError(f"there is no state; {HINT}")
+        pages.write.mode("append").parquet(f"{self.folder}/pages/{state['pages']}")
+
     def load(self) -> dict[str, Any] | None:
         """The manifest of the newest snapshot, null if there is none; a damaged or foreign one is an error."""
         numbers = self._numbers()
@@ -90,6 +110,8 @@ class Checkpoint:
             state = json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.folder}/manifest/{numbers[-1]}").collect()))
         except ValueError as e:
             raise CheckpointError(f"the state cannot be read: {e}; {HINT}") from e
+        if isinstance(state, dict) and "pages" in state and "fetched_urls" not in state:
+            state["fetched_urls"] = FetchedUrls(self.spark, f"{self.folder}/pages/{state['pages']}")
         return validated(state)
 
     def pages(self) -> DataFrame:
@@ -114,6 +136,6 @@ def validated(state: Any) -> dict[str, Any]:
         raise CheckpointError(f"the state has version {state.get('schema_version')}, not {SCHEMA_VERSION}; {HINT}")
     if missing := [k for k in REQUIRED if k not in state]:
         raise CheckpointError(f"the state lacks {', '.join(missing)}; {HINT}")
-    if not isinstance(state["config"], dict) or not isinstance(state["fetched_urls"], list):
+    if not isinstance(state["config"], dict) or not isinstance(state["fetched_urls"], list | FetchedUrls):
         raise CheckpointError(f"the state has fields of another kind; {HINT}")
     return state

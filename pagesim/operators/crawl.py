@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -11,12 +13,12 @@ from ..functions import urls as U
 
 
 def _written(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the shared checkpoint folder, or in the session's own where none is set."""
+    """Cuts lineage in the shared checkpoint folder, or in one of its own where none is set and all is one process."""
     spark = df.sparkSession
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        import tempfile
-
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="pagesim-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/crawl-{uuid.uuid4().hex}"

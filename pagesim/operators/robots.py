@@ -70,13 +70,21 @@ def groups_for(rules: DataFrame, agent: str) -> DataFrame:
 
 
 def robots_verdict(urls: DataFrame, rules: DataFrame, agent: str = "*") -> DataFrame:
-    """urls (url) with host, target and allowed: the longest matching rule decides, Allow on a tie, none allows."""
-    placed = urls.withColumns({"host": U.netloc(F.col("url")), "target": F.concat(F.when(U.path(F.col("url")) == "", "/").otherwise(U.path(F.col("url"))), F.when(U.query(F.col("url")) != "", F.concat(F.lit("?"), U.query(F.col("url")))).otherwise(""))})
+    """urls (url) with host, target and allowed: the longest matching rule decides, Allow on a tie, none allows.
+
+    Each different URL is judged once; repeated rows stay.
+    """
+    url = F.col("url")
+    target = F.concat(F.when(U.path(url) == "", "/").otherwise(U.path(url)), F.when(U.query(url) != "", F.concat(F.lit("?"), U.query(url))).otherwise(""))
+    placed = urls.withColumns({"host": U.netloc(url), "target": target})
+    once = placed.select("host", "target").distinct()
     own = groups_for(rules, agent).select(F.col("host").alias("_h"), "allow", "regex", "length")
     # a host has a short list of rules, so the pattern test runs over that list only
-    matched = placed.join(own, (F.col("host") == F.col("_h")) & F.expr("target rlike regex"), "left")
-    keys = [*urls.columns, "host", "target"]
-    return matched.groupBy(*keys).agg(F.coalesce(F.max_by("allow", F.struct("length", F.col("allow").cast("int"))), F.lit(True)).alias("allowed"))
+    matched = once.join(own, (F.col("host") == F.col("_h")) & F.expr("target rlike regex"), "left")
+    verdicts = matched.groupBy("host", "target").agg(F.coalesce(F.max_by("allow", F.struct("length", F.col("allow").cast("int"))), F.lit(True)).alias("allowed"))
+    known = verdicts.select(F.col("host").alias("_h"), F.col("target").alias("_t"), "allowed")
+    joined = placed.join(known, F.col("host").eqNullSafe(F.col("_h")) & F.col("target").eqNullSafe(F.col("_t")), "left")
+    return joined.select(*placed.columns, "allowed")
 
 
 def nothing_disallowed(rules: DataFrame, agent: str = "*") -> DataFrame:

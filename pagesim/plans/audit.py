@@ -17,6 +17,8 @@ from ..sources import inputs, webpages
 VERSION = "0.1.0"
 OK, BAD_INPUT, FETCH_FAILED, EXTRACTION_FAILED, FATAL = range(5)
 MOST_CRAWLED = 1000
+#: Pages between two times that what was fetched is saved.
+SAVED = 10
 
 
 def score(pages: DataFrame, min_pages: int = 5, percent: int = 60) -> tuple[DataFrame, int | None]:
@@ -29,21 +31,26 @@ def score(pages: DataFrame, min_pages: int = 5, percent: int = 60) -> tuple[Data
     return classify.classified(pairs.score_pairs(own, common, key="input_idx")), n_common
 
 
-def audit_pages(fetched: DataFrame, folder: str | None = None, started: float | None = None) -> tuple[int, DataFrame, DataFrame]:
+def audit_pages(fetched: DataFrame, folder: str | None = None, times: dict[str, float] | None = None) -> tuple[int, DataFrame, DataFrame]:
     """(exit code, pages, pairs) for fetched pages (input_idx, url, html, status_code, error, optional selector and markers).
 
-    Too many failed fetches or extractions end the audit with reports of the pages and no pairs.
+    Too many failed fetches or extractions end the audit with reports of the pages and no pairs. times: seconds by name of
+    what went before, for the report.
     """
-    started = started or time.time()
+    times, began = dict(times or {}), time.time()
     pages = extract.extract_pages(fetched, selectors="selector" in fetched.columns).drop("html", "raw_text").persist()
     code = report.failure_gates(pages).first().exit_code
+    times["extraction"] = time.time() - began
     if code:
         found, n_common = pages.sparkSession.createDataFrame([], ", ".join(f"{c} string" for c in PAIR_REPORT if c != "trigger_reasons") + ", trigger_reasons array<string>, k1 bigint, k2 bigint"), None
     else:
+        began = time.time()
         found, n_common = score(pages)
         found = found.persist()
+        found.count()
+        times["comparison"] = time.time() - began
     if folder:
-        report.write_reports(pages, found, n_common, folder, time.time() - started)
+        report.write_reports(pages, found, n_common, folder, times | {"all": sum(times.values())})
     return code, pages, found
 
 
@@ -57,12 +64,44 @@ def fetch_plan(plan: DataFrame, options: dict[str, str]) -> DataFrame:
     return got.join(numbers, "_k").drop("_k").join(plan.drop("url"), "input_idx")
 
 
+class Pace:
+    """When each host was asked last, and how long it wants to be left alone: what one read of pages tells the next."""
+
+    def __init__(self):
+        self.last: dict[str, float] = {}
+        self.intervals: dict[str, float] = {}
+
+    def fetched(self, plan: DataFrame, options: dict[str, str]) -> DataFrame:
+        """The plan's pages, fetched now and kept."""
+        told = {name: "\n".join(f"{host} {x!r}" for host, x in own.items()) for name, own in (("intervals", self.intervals), ("last", self.last))}
+        got = fetch_plan(plan, options | told).persist()
+        hosts = {r.h for r in got.select(F.lower(U.netloc(F.col("url"))).alias("h")).distinct().collect()}
+        self.last.update(dict.fromkeys(hosts, time.time()))
+        return got
+
+
+def fetch_and_save(plan: DataFrame, options: dict[str, str], kept: checkpoint.Checkpoint) -> None:
+    """Fetch the plan's pages and add them to the snapshot, SAVED of each task's hosts at a time, so that little is lost."""
+    pace = Pace()
+    left = plan.orderBy("input_idx").persist()
+    at_once = SAVED * max(1, int(options.get("max_concurrent", 4)))
+    numbered = [r.input_idx for r in left.select("input_idx").collect()]
+    for k in range(0, len(numbered), at_once):
+        some = pace.fetched(left.where(F.col("input_idx").isin(numbered[k : k + at_once])), options)
+        kept.add(some)
+        some.unpersist()
+
+
 def crawl_site(spark: SparkSession, start: str, max_pages: int, options: dict[str, str], respect_robots: bool = True, follow_external: bool = False, agent: str = "pagesim") -> tuple[DataFrame, list[str]]:
-    """(input_idx, url, html, status_code, error of the pages found, robots warnings), a level at a time, each page fetched once."""
+    """(input_idx, url, html, status_code, error of the pages found, robots warnings), a level at a time, each page fetched once.
+
+    A host's Crawl-delay is its least pause, from its robots file on and from one level to the next. A level's links are
+    taken in order of their URLs, as many as pages are still wanted.
+    """
     first = inputs.url_list(spark, [start]).select(U.normalized(F.col("url")).alias("url"))
     frontier = [r.url for r in first.collect()]
     seen, warnings, found, allowed_hosts = set(frontier), [], None, {}
-    rules = None
+    rules, pace = None, Pace()
     n = 0
     while frontier and n < max_pages:
         level = inputs.url_list(spark, frontier[: max_pages - n])
@@ -70,27 +109,32 @@ def crawl_site(spark: SparkSession, start: str, max_pages: int, options: dict[st
             hosts = {r.h for r in level.select(U.netloc(F.col("url")).alias("h")).distinct().collect()} - set(allowed_hosts)
             if hosts:
                 files = [f"{'https' if frontier[0].startswith('https') else 'http'}://{h}/robots.txt" for h in sorted(hosts)]
-                got = fetch_plan(inputs.url_list(spark, files), options | {"require_html": "false", "follow_redirects": "false"})
+                got = pace.fetched(inputs.url_list(spark, files), options | {"require_html": "false", "follow_redirects": "false"})
                 got = got.select(U.netloc(F.col("url")).alias("host"), F.col("status_code").alias("status"), F.coalesce("html", F.lit("")).alias("body")).persist()
                 for r in robots.availability(got).collect():
                     allowed_hosts[r.host] = not r.denied
                     warnings += [r.warning] if r.denied else []
-                own = robots.parse_robots(got.where("status = 200").select("host", "body"))
+                answered = got.where("status = 200").select("host", "body")
+                for r in robots.delay_policy(robots.crawl_delays(answered), float(options.get("rate_limit", 2))).collect():
+                    pace.intervals[r.host.lower()] = r.min_interval
+                    warnings += [f"Crawl-delay {r.crawl_delay:g} of {r.host} is taken as {r.used_delay or 0:g}"] if r.warned else []
+                own = robots.parse_robots(answered)
                 rules = own if rules is None else rules.union(own)
             good = [h for h, ok in allowed_hosts.items() if ok]
             level = level.where(U.netloc(F.col("url")).isin(good))
             if rules is not None:
                 level = robots.robots_verdict(level, rules, agent).where("allowed").select("input_idx", "url")
-        pages = fetch_plan(level.select("input_idx", "url"), options).persist()
+        pages = pace.fetched(level.select("input_idx", "url"), options)
         ok = pages.where("status_code = 200 and html is not null")
         n += ok.count()
         found = ok if found is None else found.union(ok)
         links = extract.links(ok)
         keep = U.problem(F.col("dst_url")).isNull() & U.crawlable_ending(F.col("dst_url"))
         links = links.where(keep if follow_external else keep & U.same_site(F.col("src_url"), F.col("dst_url")))
-        fresh = sorted({r.dst_url for r in links.select("dst_url").distinct().limit(10 * MOST_CRAWLED).collect()} - seen)
-        seen.update(fresh)
-        frontier = fresh
+        known = spark.createDataFrame([(u,) for u in seen], "dst_url string")  # at most a level's worth of URLs a level
+        fresh = links.select("dst_url").distinct().join(known, "dst_url", "left_anti").orderBy("dst_url").limit(max(0, max_pages - n) * 2 + SAVED)
+        frontier = [r.dst_url for r in fresh.collect()]
+        seen.update(frontier)
     if found is None:
         found = fetch_plan(inputs.url_list(spark, []), options)
     return found.withColumn("input_idx", F.monotonically_increasing_id()), warnings
@@ -127,7 +171,7 @@ def run(spark: SparkSession, argv: list[str]) -> int:
     a = parser().parse_args(argv)
     try:
         check_options(a)
-        options = {"timeout": str(a.timeout), "rate_limit": str(a.rate_limit), "max_response_size": str(a.max_response_size), "allow_private": str(a.allow_private).lower()}
+        options = {"timeout": str(a.timeout), "rate_limit": str(a.rate_limit), "max_response_size": str(a.max_response_size), "allow_private": str(a.allow_private).lower(), "max_concurrent": str(a.max_concurrent)}
         config = options | {"max_pages": str(a.max_pages), "crawl_mode": str(bool(a.crawl)).lower()}
         kept = checkpoint.Checkpoint(spark, f"{a.output_dir}/.state")
         state = kept.load() if a.resume and not a.no_resume else None
@@ -137,22 +181,25 @@ def run(spark: SparkSession, argv: list[str]) -> int:
             for r in checkpoint.config_differences(*(spark.createDataFrame([(k, v) for k, v in c.items()], "key string, value string") for c in (state["config"], config))).collect():
                 print(f"warning: {r.key}: saved={r.saved}, current={r.current}")
             plan = inputs.with_nulls(spark.createDataFrame(state["planned_inputs"], "input_idx bigint, url string, selector string, start_marker string, end_marker string")) if state["planned_inputs"] else planned
-            done = kept.pages()
-            fetched = done.unionByName(fetch_plan(checkpoint.remaining(plan, done), options), allowMissingColumns=True)
+            left = checkpoint.remaining(plan, kept.pages())
+            print(f"resuming: {len(state['fetched_urls'])} of {state['total_pages']} pages are fetched")
+            fetch_and_save(left, options, kept)
         elif a.crawl:
             fetched, warnings = crawl_site(spark, a.crawl, a.max_pages, options, not a.ignore_robots, a.follow_external)
             for w in warnings:
                 print(f"warning: {w}")
             inputs.check_plan(fetched.select("input_idx", "url"), None)
-            plan = fetched.select("input_idx", "url")
+            rows = fetched.select("input_idx", "url").orderBy("input_idx").collect()
+            kept.save(fetched, config, [r.url for r in rows], [r.asDict() for r in rows], a.crawl, started, True)
         else:
             plan = inputs.load_plan(spark, a.input)
             inputs.check_plan(plan)
-            fetched = fetch_plan(plan, options)
-        fetched = fetched.persist()
-        rows = plan.orderBy("input_idx").collect()
-        kept.save(fetched, config, [r.url for r in rows], [r.asDict() for r in rows], a.crawl, started, bool(a.crawl))
-        code, pages, found = audit_pages(fetched, a.output_dir, started)
+            rows = plan.orderBy("input_idx").collect()
+            kept.save(fetch_plan(plan.limit(0), options), config, [r.url for r in rows], [r.asDict() for r in rows], None, started, False)
+            fetch_and_save(plan, options, kept)
+        fetched = kept.pages().persist()
+        print(f"{fetched.count()} pages fetched")
+        code, pages, found = audit_pages(fetched, a.output_dir, {"fetching": time.time() - started})
         if not code:
             kept.clear()
             c = report.priority_counts(found).first()

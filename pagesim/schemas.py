@@ -28,7 +28,7 @@ PAGE = T.StructType(
         T.StructField("has_cjk", T.BooleanType()),
     ]
 )
-#: What reports show of a page, and the columns of the pair report in order.
+#: What reports show of a page, and the columns of the pair report in order.
 PUBLIC_PAGE = ["url", "status_code", "error", "extraction_method", "extraction_confident", "main_content_length", "sha256", "block_count", "word_count", "has_cjk"]
 PAIR_REPORT = ["url1", "url2", "priority", "sha256_match", "jaccard_3gram", "tfidf_cosine", "block_overlap", "jaccard_3gram_clean", "tfidf_cosine_clean", "block_overlap_clean", "trigger_reasons"]
 EDGE = T.StructType([T.StructField("src_url", T.StringType()), T.StructField("dst_url", T.StringType())])

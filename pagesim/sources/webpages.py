@@ -3,8 +3,10 @@
     spark.dataSource.register(WebPages)
     spark.read.format("webpages").option("urls", "https://a.example/1\nhttps://a.example/2").load()
 
-A host's URLs are one partition, so one task keeps to its pace; a plan with many hosts runs as many tasks as the
-cluster has room for. Addresses are vetted before a connection is made, each redirect again.
+A host's URLs are in one partition, so one task keeps to its pace, and there are as many partitions as requests may run at
+once. `intervals` ("host seconds" a line) sets longer pauses for hosts, `last` ("host time" a line) tells when a host was
+asked before, so that a crawl keeps the pace from one read to the next. Addresses are vetted before a connection is made,
+each redirect again.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ class Settings:
     max_retries: int = 2
     rate_limit: float = 2.0
     min_interval: float = 0.0
+    max_concurrent: int = 4
     max_redirects: int = 3
     allow_private: bool = False
     require_html: bool = True
@@ -45,7 +48,7 @@ class Settings:
     user_agent: str = "pagesim/0.1"
 
     def __post_init__(self):
-        for name in ("timeout", "max_response_size", "rate_limit"):
+        for name in ("timeout", "max_response_size", "rate_limit", "max_concurrent"):
             if getattr(self, name) <= 0:
                 raise ValueError(f"{name} must be positive")
         if self.max_retries < 0:
@@ -189,27 +192,41 @@ def fetch(url: str, s: Settings) -> tuple[str | None, int | None, str | None]:
 
 @dataclass
 class HostUrls(InputPartition):
-    urls: list[tuple[int, str]]
+    hosts: list[list[tuple[int, str]]]
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, urls: list[str], settings: Settings):
-        self.urls, self.settings = urls, settings
+    def __init__(self, urls: list[str], settings: Settings, intervals: dict[str, float], last: dict[str, float]):
+        self.urls, self.settings, self.intervals, self.last = urls, settings, intervals, last
 
     def partitions(self):
+        """Hosts dealt over max_concurrent partitions, the one with the most URLs first, each to the shortest."""
         hosts: dict[str, list[tuple[int, str]]] = {}
         for k, u in enumerate(self.urls):
-            hosts.setdefault(urlsplit(u).netloc, []).append((k, u))
-        return [HostUrls(x) for x in hosts.values()]
+            hosts.setdefault(urlsplit(u).netloc.lower(), []).append((k, u))
+        parts: list[list[list[tuple[int, str]]]] = [[] for _ in range(min(self.settings.max_concurrent, len(hosts)))]
+        for own in sorted(hosts.values(), key=len, reverse=True):
+            min(parts, key=lambda p: sum(map(len, p))).append(own)
+        return [HostUrls(p) for p in parts]
 
     def read(self, partition):
-        last = -self.settings.interval
-        for k, u in partition.urls:
-            time.sleep(max(0.0, last + self.settings.interval - time.monotonic()))
-            last = time.monotonic()
+        """Hosts take turns, so that one's pause is another's time; rows come as pages do."""
+        waiting = [(own, max(self.settings.interval, self.intervals.get(urlsplit(own[0][1]).netloc.lower(), 0.0))) for own in partition.hosts]
+        due = [self.last.get(urlsplit(own[0][1]).netloc.lower(), 0.0) + pause for own, pause in waiting]
+        places = [0] * len(waiting)
+        while any(k < len(own) for k, (own, _) in zip(places, waiting)):
+            i = min((i for i, (own, _) in enumerate(waiting) if places[i] < len(own)), key=due.__getitem__)
+            time.sleep(max(0.0, due[i] - time.time()))
+            due[i] = time.time() + waiting[i][1]
+            k, u = waiting[i][0][places[i]]
+            places[i] += 1
             yield (k, u, *fetch(u, self.settings))
 
 
+def _numbers(lines: str) -> dict[str, float]:
+    return {host.lower(): float(x) for host, x in (line.rsplit(" ", 1) for line in lines.split("\n") if line)}
+
+
 class WebPages(DataSource):
     @classmethod
     def name(cls):
@@ -220,7 +237,7 @@ class WebPages(DataSource):
 
     def reader(self, schema):
         o = {k.lower(): v for k, v in self.options.items()}
-        kinds = {"timeout": float, "max_response_size": int, "max_retries": int, "rate_limit": float, "min_interval": float, "user_agent": str}
+        kinds = {"timeout": float, "max_response_size": int, "max_retries": int, "rate_limit": float, "min_interval": float, "max_concurrent": int, "user_agent": str}
         given = {k: kind(o[k]) for k, kind in kinds.items() if k in o}
         flags = {k: o[k].lower() == "true" for k in ("allow_private", "require_html", "follow_redirects") if k in o}
-        return _Reader([u for u in o.get("urls", "").split("\n") if u], Settings(**given, **flags))
+        return _Reader([u for u in o.get("urls", "").split("\n") if u], Settings(**given, **flags), _numbers(o.get("intervals", "")), _numbers(o.get("last", "")))

@@ -94,7 +94,7 @@ def test_snapshot_round_trip(spark, tmp_path):
     for _ in range(2):
         c.save(pages, {"timeout": "10"}, ["u0", "u1", "u2"], [{"input_idx": k, "url": f"u{k}"} for k in range(3)])
     state = c.load()
-    assert state["fetched_urls"] == ["u0", "u1"] and state["input_digest"] == checkpoint.input_digest(state["planned_urls"], state["planned_inputs"])
+    assert sorted(state["fetched_urls"]) == ["u0", "u1"] and len(state["fetched_urls"]) == 2 and state["input_digest"] == checkpoint.input_digest(state["planned_urls"], state["planned_inputs"])
     assert c.pages().count() == 2 and c.resume_info()["fetched_pages"] == 2
     left = checkpoint.remaining(inputs.url_list(spark, state["planned_urls"]), c.pages())
     assert [r.url for r in left.collect()] == ["u2"]
@@ -127,7 +127,10 @@ def test_reports(spark, tmp_path):
     table = list(csv.DictReader(io.StringIO((tmp_path / "out/pairs.csv").read_text())))
     assert sum(r["priority"] == "P1" and r["sha256_match"] == "True" for r in table) >= 3 and list(table[0])[0] == "url1"
     text = (tmp_path / "out/report.md").read_text()
-    assert "- **Total pages**: 6" in text and "http://h/0\\|" in text and "## P1" in text
+    assert "* Pages: 6\n" in text and "http://h/0\\|" in text and "(P1)" in text and "comparison: " in text
+    again, both = report.read_reports(spark, f"{tmp_path}/out")
+    assert again.count() == 6 and both.count() == 15 and both.where("priority = 'P1' and sha256_match and size(trigger_reasons) > 0").count() == pairs.where("priority = 'P1' and sha256_match").count()
+    assert both.agg(F.max("jaccard_3gram")).first()[0] == 1.0
     assert report.rounded(3 / 160) == 0.0187 and report.rounded(0.0) == 0.0 and report.rounded(None) is None
 
 
@@ -140,10 +143,12 @@ def test_gates_end_an_audit(spark):
 
 
 class _Site(http.server.BaseHTTPRequestHandler):
+    robots = "User-agent: *\nDisallow: /p3\n"
+
     def do_GET(self):
         kind, status, body = "text/html; charset=utf-8", 200, None
         if self.path == "/robots.txt":
-            kind, body = "text/plain", "User-agent: *\nDisallow: /p3\n"
+            kind, body = "text/plain", self.robots
         elif self.path == "/":
             body = page(LONG * 2 + "".join(f"<a href='/p{k}'>p</a>" for k in range(5)))
         elif self.path == "/pdf":
@@ -209,6 +214,56 @@ def test_command_line_crawl_and_list(spark, site, tmp_path):
     assert audit.run(spark, [f"{site}/none1", f"{site}/none2", "--allow-private", "--rate-limit", "100", "--output-dir", str(tmp_path / "gone")]) == audit.FETCH_FAILED
 
 
+def test_fetching_saves_as_it_goes(spark, site, tmp_path, monkeypatch):
+    out, fetched, real = str(tmp_path / "broken"), [], audit.Pace.fetched
+
+    def breaks(self, plan, options):
+        if len(fetched) == 2:
+            raise KeyboardInterrupt
+        fetched.append(real(self, plan, options).count())
+        return real(self, plan, options)
+
+    monkeypatch.setattr(audit, "SAVED", 1)
+    monkeypatch.setattr(audit.Pace, "fetched", breaks)
+    argv = [*(f"{site}/p{k}" for k in range(1, 6)), "--allow-private", "--rate-limit", "100", "--max-concurrent", "2", "--output-dir", out]
+    assert audit.run(spark, argv) == audit.FATAL
+    kept = checkpoint.Checkpoint(spark, f"{out}/.state")
+    assert kept.pages().count() == 4 and kept.resume_info()["fetched_pages"] == 4
+    monkeypatch.setattr(audit.Pace, "fetched", real)
+    assert audit.run(spark, [*argv, "--resume"]) == audit.OK and not kept.exists()
+    assert len(json.loads((tmp_path / "broken/pages.json").read_text())["pages"]) == 5
+
+
+def test_pace_holds_within_and_across_reads(site, monkeypatch):
+    host = site.split("//")[1]
+    asked = []
+    monkeypatch.setattr(webpages, "fetch", lambda u, s: (asked.append((u, webpages.time.time())), ("", 200, None))[1])
+    settings = webpages.Settings(rate_limit=50, max_concurrent=2)
+    urls = [f"{site}/{k}" for k in range(4)] + ["http://b.example/1", "http://c.example/1", "http://d.example/1"]
+    reader = webpages._Reader(urls, settings, {host: 0.15}, {"b.example": webpages.time.time() + 0.2})
+    parts = reader.partitions()
+    assert len(parts) == 2 and sorted(k for p in parts for own in p.hosts for k, _ in own) == list(range(7))
+    began = webpages.time.time()
+    got = [row for p in parts for row in reader.read(p)]
+    at = {u: t for u, t in asked}
+    assert len(got) == 7 and all(at[f"{site}/{k + 1}"] - at[f"{site}/{k}"] >= 0.149 for k in range(3)) and at["http://b.example/1"] - began >= 0.2
+
+
+def test_crawl_obeys_the_delay_of_robots_files(spark, site, monkeypatch):
+    told, real = [], audit.fetch_plan
+    monkeypatch.setattr(audit, "fetch_plan", lambda plan, options: (told.append(options), real(plan, options))[1])
+    monkeypatch.setattr(_Site, "robots", "User-agent: *\nCrawl-delay: 0.2\nDisallow: /p3\n")
+    pages, warnings = audit.crawl_site(spark, f"{site}/", 3, {"allow_private": "true", "rate_limit": "100"})
+    host = site.split("//")[1]
+    assert pages.count() == 3 and not warnings and told[0]["last"] == "" and all(f"{host} 0.2" in o["intervals"] and host in o["last"] for o in told[1:])
+
+
+def test_verdicts_keep_repeated_urls(spark):
+    rules = robots.parse_robots(spark.createDataFrame([("h", "User-agent: *\nDisallow: /a")], "host string, body string"))
+    got = robots.robots_verdict(spark.createDataFrame([("http://h/a",), ("http://h/a",), ("http://h/b",)], "url string"), rules).collect()
+    assert sorted((r.url, r.allowed) for r in got) == [("http://h/a", False), ("http://h/a", False), ("http://h/b", True)]
+
+
 def test_streamed_duplicates(spark, tmp_path):
     src = str(tmp_path / "in")
     incremental_pages = [(0, "u0", page(LONG * 2)), (1, "u1", page(LONG * 2)), (2, "u2", page(LONG * 3))]
