@@ -32,7 +32,7 @@ from .features import blocks, column_texts
 HIDDEN, CLASS, CLASSES, REST, HEAD = 16, 64, 48, 16, 300_000
 #: Words of a training window, rounds of averaging (each has its share of the texts), lanes of training at most and of
 #: scoring, steps scored at once, tokens of the same class side by side, tokens for a whole training step.
-SPAN, ROUNDS, TRAIN_LANES, LANES, STEPS, TOGETHER, FULL = 32, 3, 256, 768, 64, 32, 3072
+SPAN, ROUNDS, TRAIN_LANES, LANES, STEPS, TOGETHER, FULL = 48, 3, 256, 768, 64, 32, 3072
 #: Characters whose words are held at once, tokens that wait for the net.
 BLOCK_CHARS, WAITING = 3_000_000, 6_000_000
 END = "\n"  # no word has it
@@ -429,7 +429,7 @@ def _looked_up(m: Model, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarr
     for k, words in enumerate(texts):
         numbers = m.numbers(words)
         inside = numbers[numbers >= 0]
-        tails.append(Counter(words[i] for i in np.flatnonzero(numbers < 0).tolist()))
+        tails.append(Counter(map(words.__getitem__, np.flatnonzero(numbers < 0).tolist())))
         known[k] = len(inside) + (m.total > 0)
         base[k] = head_log[inside].sum() + head_log[end_number] - base_down * (len(words) + 1)
         out = m.outputs(words, numbers)
@@ -480,14 +480,15 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, number = held.value, TaskContext.get().partitionId() << 33
-        arrow = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int32())]))
         for batch in batches:
             found, done = [], 0
 
             def scored() -> pa.RecordBatch:
                 known, base, own, outs, tails = (list(chain.from_iterable(x)) for x in zip(*found))
                 own = np.array(own) + _net_scores(m, outs)
-                lists = pa.array([[{"word": w.decode(), "times": n} for w, n in t.items()] for t in tails], arrow)
+                words = pa.array(list(chain.from_iterable(tails)), pa.binary()).cast(pa.string())
+                times = pa.array(list(chain.from_iterable(t.values() for t in tails)), pa.int32())
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, tails)]), pa.int32()), pa.StructArray.from_arrays([words, times], names=["word", "times"]))
                 new = [pa.array([len(o) for o in outs], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(own), pa.array(range(number, number + len(outs)), pa.int64()), lists]
                 part = batch.slice(done, len(outs))
                 return pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in keep), *new], names=[*keep, *(f.name for f in added), row, tail])

@@ -119,6 +119,16 @@ def _keys(flat: np.ndarray, owner: np.ndarray, band: int) -> tuple[np.ndarray, n
     return at, key
 
 
+def _counted(code: np.ndarray, votes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, votes) summed by code; codes of fewer than `least` votes may be missing."""
+    if least and len(code):
+        slot = (code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(43)).astype(np.int64)
+        some = np.bincount(slot, votes, 1 << 21)[slot] >= least  # most codes are alone
+        code, votes = code[some], votes[some]
+    code, back = np.unique(code, return_inverse=True)
+    return code, np.bincount(back, votes, len(code)).astype(np.int64)
+
+
 def _offsets(flat: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, least_votes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(a, b, offset) with least_votes or more, of recordings a < b of which one is in `left`, the other in `right` (masks)."""
     n, pad = len(size), int(size.max())
@@ -149,12 +159,13 @@ def _offsets(flat: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.nda
         q = lists[np.arange(total[m] - total[k]) - np.repeat(total[k:m] - total[k] - begin[k:m], count)]
         keep = owner[p] < owner[q] if left is right else owner[p] != owner[q]
         p, q = p[keep], q[keep]
-        more, n_more = np.unique((owner[p] * n + owner[q]) * room + place[q] - place[p] + pad, return_counts=True)
-        code, back = np.unique(np.concatenate((code, more)), return_inverse=True)
-        votes = np.bincount(back, np.concatenate((votes, n_more)), len(code)).astype(np.int64)
-        done = len(code) if m == len(own) else int(np.searchsorted(code, owner[own[m]] * n * room))  # the last one's votes go on
-        enough = code[:done][votes[:done] >= least_votes]
-        code, votes, k = code[done:], votes[done:], m
+        more = (owner[p] * n + owner[q]) * room + place[q] - place[p] + pad
+        bound = np.iinfo(np.int64).max if m == len(own) else owner[own[m]] * n * room  # the last one's votes go on
+        over, later = more < bound, code >= bound
+        enough, counted = _counted(np.concatenate((code[~later], more[over])), np.concatenate((votes[~later], np.ones(int(over.sum()), np.int64))), least_votes)
+        enough = enough[counted >= least_votes]
+        code, votes = _counted(np.concatenate((code[later], more[~over])), np.concatenate((votes[later], np.ones(int((~over).sum()), np.int64))), 0)
+        k = m
         a, b, offset = enough // room // n, enough // room % n, enough % room - pad
         yield np.minimum(a, b), np.maximum(a, b), np.where(a < b, offset, -offset)
 
@@ -191,7 +202,7 @@ def align(marked: DataFrame, media_id: str = "media_id", least_votes: int = 2, l
     fingerprints link with nothing; a null id takes part if its class has an id.
 
     Classes are dealt into blocks and each pair of blocks is one task, so votes are counted and tried where they arise,
-    and no common key becomes a hot one. A link whose bits differ too evenly for two keys to agree is not found.
+    and no common key becomes a hot one; a task gives one row for each class that links, with their number and its best. A link whose bits differ too evenly for two keys to agree is not found.
     """
     rows = marked.select(F.col(media_id).alias("media_id"), "fingerprint", F.xxhash64("fingerprint").alias("print"))
     classes = written(rows.groupBy("print").agg(F.min("media_id").alias("class_id"), F.first("fingerprint").alias("fingerprint")), "classes")
@@ -211,14 +222,20 @@ def align(marked: DataFrame, media_id: str = "media_id", least_votes: int = 2, l
         order = np.lexsort((offset, np.abs(offset), error, b, a))
         a, b, offset, error = a[order], b[order], offset[order], error[order]
         first = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)]
+        a, b, offset, error = a[first], b[first], offset[first], error[first]
+        one, other = np.concatenate((a, b)), np.concatenate((b, a))  # each link for both; a class's best is its first
+        offset, error = np.concatenate((offset, -offset)), np.concatenate((error, error))
+        order = np.lexsort((offset, other, error, one))
+        one, other, offset, error = one[order], other[order], offset[order], error[order]
+        begin = np.flatnonzero(np.concatenate((one[:1] == one[:1], one[1:] != one[:-1])))
+        n = np.diff(np.append(begin, len(one)))
         ids = table.column("class_id").combine_chunks()
-        return pa.table({"a": ids.take(pa.array(a[first], pa.int64())), "b": ids.take(pa.array(b[first], pa.int64())), "offset": pa.array(offset[first], pa.int32()), "bit_error": pa.array(error[first], pa.float64())})
+        return pa.table({"class_id": ids.take(pa.array(one[begin], pa.int64())), "n": pa.array(n, pa.int64()), "bit_error": pa.array(error[begin], pa.float64()), "other": ids.take(pa.array(other[begin], pa.int64())), "offset": pa.array(offset[begin], pa.int32())})
 
     kind = once.schema["class_id"].dataType
-    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("offset", T.IntegerType()), T.StructField("bit_error", T.DoubleType())])
-    links = written(dealt.groupBy("i", "j").applyInArrow(run, schema), "links")
-    ends = links.union(links.select("b", "a", -F.col("offset"), "bit_error")).toDF("class_id", "other", "offset", "bit_error")
-    own = ends.groupBy("class_id").agg(F.count("*").alias("n_links"), F.min(F.struct("bit_error", "other", "offset")).alias("x"))
+    schema = T.StructType([T.StructField("class_id", kind), T.StructField("n", T.LongType()), T.StructField("bit_error", T.DoubleType()), T.StructField("other", kind), T.StructField("offset", T.IntegerType())])
+    ends = written(dealt.groupBy("i", "j").applyInArrow(run, schema), "links")
+    own = ends.groupBy("class_id").agg(F.sum("n").alias("n_links"), F.min(F.struct("bit_error", "other", "offset")).alias("x"))
     known = classes.select("print", "class_id").join(own, "class_id", "left")
     joined = rows.join(known, "print", "left")
     return joined.select("media_id", F.size("fingerprint").alias("n_prints"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("x.other").alias("best_match"), F.col("x.offset").alias("offset"), F.col("x.bit_error").alias("bit_error"))
