@@ -81,10 +81,14 @@ def trigrams(text: Column) -> Column:
 def trigram_codes(text: Column) -> Column:
     """The set of trigrams, each as one number of 63 bits (21 for each code point), so that sets compare fast."""
     codes = F.transform(_characters(text), lambda c: F.ascii(c).cast("bigint"))
-    shifted = [F.slice(codes, k + 1, F.length(text) + 1) for k in (1, 2)]
-    pairs = F.zip_with(codes, shifted[0], lambda a, b: F.shiftleft(a, 21).bitwiseOR(b))
-    grams = F.zip_with(pairs, shifted[1], lambda a, b: F.shiftleft(a, 21).bitwiseOR(b))
-    return F.array_distinct(F.filter(grams, lambda g: g.isNotNull()))
+
+    def grams(own: Column) -> Column:
+        after = [F.slice(own, k, F.size(own)) for k in (2, 3)]
+        pairs = F.zip_with(own, after[0], lambda a, b: F.shiftleft(a, 21).bitwiseOR(b))
+        return F.zip_with(pairs, after[1], lambda a, b: F.shiftleft(a, 21).bitwiseOR(b))
+
+    once = F.get(F.transform(F.array(codes), grams), F.lit(0))  # the characters are worked out once
+    return F.array_distinct(F.filter(once, lambda g: g.isNotNull()))
 
 
 def hashes(values: Column) -> Column:

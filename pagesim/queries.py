@@ -200,7 +200,7 @@ def trigram_counts(spark, sf_dir):
 @query
 def document_trigrams(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", F.size(X.trigrams(F.col("text"))).cast("bigint").alias("trigrams"))
+    return docs.select("doc_id", F.size(X.trigram_codes(F.col("text"))).cast("bigint").alias("trigrams"))
 
 
 @query
