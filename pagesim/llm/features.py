@@ -44,8 +44,8 @@ def counts(doc: np.ndarray, bucket: np.ndarray, docs: int, bits: int) -> tuple[n
     return at >> bits, at & ((1 << bits) - 1), dense[at]
 
 
-def blocks(texts: Iterable[str | None], docs: int = 96, most: int = BLOCK_BYTES) -> Iterator[list[str | None]]:
-    """Runs of texts of about `most` characters together (or one longer text), `docs` at most."""
+def blocks(texts: Iterable[str | bytes | None], docs: int = 96, most: int = BLOCK_BYTES) -> Iterator[list]:
+    """Runs of texts of about `most` characters or bytes together (or one longer text), `docs` at most."""
     held, block = 0, []
     for x in texts:
         block.append(x)
@@ -61,6 +61,11 @@ def column_texts(batch: pa.RecordBatch, name: str) -> Iterator[str | None]:
     return (x.as_py() for x in batch.column(batch.schema.get_field_index(name)))
 
 
+def column_bytes(batch: pa.RecordBatch, name: str) -> Iterator[bytes | None]:
+    """The texts in UTF-8, as they are held."""
+    return (x.as_py() for x in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()))
+
+
 def half(key: Column) -> Column:
     """0 or 1 for each row, by hash."""
     return F.pmod(F.xxhash64(key, F.lit("half")), F.lit(2)).cast("int")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import dropped, free_names, written
-from .features import blocks, column_texts
+from .features import blocks, column_bytes
 
 #: Hidden units, words in a class, classes of frequent words at most, classes of other words, words kept with their
 #: counts in each task at most (those of the highest counts; a join finds the others').
@@ -55,10 +55,9 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             return out
 
         for batch in batches:
-            for t in batch.column(0):
-                t = t.as_py()
-                if t:
-                    found.update(t.encode().lower().split())
+            for raw in column_bytes(batch, text):
+                if raw:
+                    found.update(raw.lower().split())
                 found[END.encode()] += 1
                 if len(found) > _FLUSH:
                     yield flush()
@@ -357,11 +356,11 @@ def _outputs(docs: DataFrame, model, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            for texts in blocks(column_texts(batch, text), len(batch), BLOCK_CHARS):
-                rounds = [zlib.crc32((t or "").encode()) % ROUNDS for t in texts]
+            for texts in blocks(column_bytes(batch, text), len(batch), BLOCK_CHARS):
+                rounds = [zlib.crc32(t or b"") % ROUNDS for t in texts]
                 rows = []
                 for t in texts:
-                    words = (t or "").encode().lower().split()
+                    words = (t or b"").lower().split()
                     rows.append(m.outputs(words, m.numbers(words)).astype(np.int32))
                 offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(rounds, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows)))], names=["round", "ids"])
@@ -493,8 +492,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text")
                 part = batch.slice(done, len(outs))
                 return pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in keep), *new], names=[*keep, *(f.name for f in added), row, tail])
 
-            for some in blocks(column_texts(batch, text), len(batch), BLOCK_CHARS):
-                found.append(_looked_up(m, [(x or "").encode().lower().split() for x in some]))
+            for some in blocks(column_bytes(batch, text), len(batch), BLOCK_CHARS):
+                found.append(_looked_up(m, [(x or b"").lower().split() for x in some]))
                 if sum(len(o) for x in found for o in x[3]) > WAITING:
                     out = scored()
                     number, done, found = number + len(out), done + len(out), []
