@@ -201,6 +201,36 @@ def test_linedup_takes_odd_rows(spark, docs):
     assert [r.text for r in got if r.doc_id == 25] == ["one", "one"]
 
 
+# Columns of the caller
+CLASHING = ["id", "hash", "gone", "n", "lines", "rest", "salt", "shared", "later", "row", "tail", "log", "known", "b", "t", "s0", "fp", "p_zip", "_rank", "_hash", "_id", "_n", "_row", "_t", "_d", "digest", "line", "bits", "part", "y", "h", "bucket"]
+OPERATORS = {
+    "op1": lambda d, l: toxicity.score(d, toxicity.train(d, l)),
+    "op2": lambda d, l: mixing.fit_rates(mixing.posteriors(d, mixing.train(d, l)), {"a": 1, "b": 1}, most_gap=None),
+    "op3": lambda d, l: lm.score(d.withColumn("text_", F.col("text")), *lm.train(d)).withColumnRenamed("text_", "text"),
+    "op4": lambda d, l: linedup.dedupe_lines(d, out="deduped"),
+    "op5": lambda d, l: bpe.encode(d, queries.vocabulary_path(), out="codes", decoded="back"),
+    "op6": lambda d, l: substring.dedupe(d),
+    "op7": lambda d, l: simhash.keep_first(d),
+    "op8": lambda d, l: langid.predict(d, langid.train(d)),
+    "op10": lambda d, l: quality.judge(d, quality.train(d, l)),
+}
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_columns_of_the_caller_stay(spark, name):
+    rng = random.Random(31)
+    long = " ".join(f"w{k % 5000}" for k in range(120_000))
+    texts = [prose(rng, 50) for _ in range(20)] + [long, None, "", "one"]
+    rows = [(k, t, "en", *(f"{c}{k}" for c in CLASHING)) for k, t in enumerate(texts)] + [(3, texts[3], "en", *(f"{c}3" for c in CLASHING))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, " + ", ".join(f"`{c}` string" for c in CLASHING))
+    labels = spark.createDataFrame([(k, k % 2, k % 2, "ab"[k % 2]) for k in range(20)], "doc_id bigint, toxic int, quality int, domain string")
+    got = OPERATORS[name](docs, labels).collect()
+    want = Counter((i, t, *rest) for i, t, _, *rest in rows)
+    own = Counter((r.doc_id, r.text, *(r[c] for c in CLASHING)) for r in got)
+    assert own == want if name != "op7" else set(own) <= set(want) and set(own.values()) == {1}
+    assert OPERATORS[name](docs.limit(0), labels).count() == 0
+
+
 # Rows that share an id
 def test_texts_that_share_an_id_keep_their_own(spark):
     rng = random.Random(17)
