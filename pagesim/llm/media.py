@@ -19,7 +19,9 @@ RATE, FRAME, HOP, REACH = 4000, 512, 128, 16
 #: A key of the index is one byte of an integer and the same byte of those so far behind it; each of the four bytes has keys.
 AHEAD, BANDS = (8, 16), (0, 8, 16, 24)
 #: Integers of a block of classes, about; votes that a task holds at once.
-BLOCK, VOTES = 1 << 19, 1 << 21
+BLOCK, VOTES = 1 << 19, 1 << 18
+#: Votes are first counted in that many slots (a power of 2).
+SLOT_BITS = 19
 LOWEST, HIGHEST = 100.0, 1900.0
 #: For each filter its kind, first pitch class, pitch classes and frames. Kinds compare 0: lower with
 #: upper pitch classes, 1: earlier with later frames, 2: the two diagonals of quarters, 3: the middle with both sides.
@@ -119,52 +121,66 @@ def _keys(flat: np.ndarray, owner: np.ndarray, band: int) -> tuple[np.ndarray, n
     return at, key
 
 
-def _counted(code: np.ndarray, votes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, votes) summed by code; codes of fewer than `least` votes may be missing."""
+def _counted(code: np.ndarray, votes: np.ndarray | None, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, votes) summed by code (None: one vote each); codes of fewer than `least` votes may be missing."""
     if least and len(code):
-        slot = (code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(43)).astype(np.int64)
-        some = np.bincount(slot, votes, 1 << 21)[slot] >= least  # most codes are alone
-        code, votes = code[some], votes[some]
+        slot = (code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        some = np.bincount(slot, votes, 1 << SLOT_BITS)[slot] >= least  # most codes are alone
+        code, votes = code[some], None if votes is None else votes[some]
+    if votes is None:
+        return np.unique(code, return_counts=True)
     code, back = np.unique(code, return_inverse=True)
     return code, np.bincount(back, votes, len(code)).astype(np.int64)
 
 
 def _offsets(flat: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, least_votes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(a, b, offset) with least_votes or more, of recordings a < b of which one is in `left`, the other in `right` (masks)."""
+    """(a, b, offset) with least_votes or more, of recordings a < b of which one is in `left`, the other in `right`.
+
+    These are masks: one and the same, or two that share no recording.
+    """
     n, pad = len(size), int(size.max())
     start = np.cumsum(size) - size
     owner = np.repeat(np.arange(n), size)
     place = np.arange(len(flat)) - start[owner]
     room = 2 * pad + 1  # of offsets
+    from_left, from_right = owner * (n * room) - place + pad, owner * room + place  # their sum is a vote's code
     own, other = [], []  # postings: of left their places, of right where their equals are
     lists = []
     for band in BANDS:
         at, key = _keys(flat, owner, band)
         l, r = left[owner[at]], right[owner[at]]
-        order = np.argsort(key[r], kind="stable")
+        order = np.argsort(key[r])
         there = key[r][order]
-        begin, end = np.searchsorted(there, key[l], "left"), np.searchsorted(there, key[l], "right")
-        own.append(at[l])
-        other.append(np.stack((begin, end)) + sum(map(len, lists)))
-        lists.append(at[r][order])
+        asked = order if left is right else np.argsort(key[l])
+        sought = there if left is right else key[l][asked]  # in order, so that the search stays where it was
+        own.append(at[l][asked])
+        other.append(np.stack((np.searchsorted(there, sought, "left"), np.searchsorted(there, sought, "right"))) + sum(map(len, lists)))
+        lists.append(from_right[at[r][order]])
     own, (begin, end), lists = np.concatenate(own), np.concatenate(other, axis=1), np.concatenate(lists)
-    order = np.argsort(own, kind="stable")
-    own, begin, end = own[order], begin[order], end[order]
-    total = np.concatenate(([0], np.cumsum(end - begin)))
+    met = np.flatnonzero(end > begin)
+    met = met[np.argsort(own[met])]
+    own, begin, count = own[met], begin[met], (end - begin)[met]
+    owners, sums = owner[own], from_left[own]
+    total = np.concatenate(([0], np.cumsum(count)))
     code, votes, k = np.empty(0, np.int64), np.empty(0, np.int64), 0
     while k < len(own):
         m = max(k + 1, int(np.searchsorted(total, total[k] + VOTES, "right")) - 1)
-        count = (end - begin)[k:m]
-        p = np.repeat(own[k:m], count)
-        q = lists[np.arange(total[m] - total[k]) - np.repeat(total[k:m] - total[k] - begin[k:m], count)]
-        keep = owner[p] < owner[q] if left is right else owner[p] != owner[q]
-        p, q = p[keep], q[keep]
-        more = (owner[p] * n + owner[q]) * room + place[q] - place[p] + pad
-        bound = np.iinfo(np.int64).max if m == len(own) else owner[own[m]] * n * room  # the last one's votes go on
-        over, later = more < bound, code >= bound
-        enough, counted = _counted(np.concatenate((code[~later], more[over])), np.concatenate((votes[~later], np.ones(int(over.sum()), np.int64))), least_votes)
+        if m < len(own):
+            whole = int(np.searchsorted(owners, owners[m]))
+            m = whole if whole > k else m
+        each = count[k:m]
+        there = lists[np.arange(total[m] - total[k]) - np.repeat(total[k:m] - total[k] - begin[k:m], each)]
+        more = np.repeat(sums[k:m], each) + there
+        if left is right:
+            more = more[there >= np.repeat((owners[k:m] + 1) * room, each)]  # of a later recording
+        if not len(code) and (m == len(own) or owners[m] != owners[m - 1]):
+            enough, counted = _counted(more, None, least_votes)
+        else:  # a recording with more votes than fit: its last part's go on
+            bound = np.iinfo(np.int64).max if m == len(own) else owners[m] * n * room
+            over, later = more < bound, code >= bound
+            enough, counted = _counted(np.concatenate((code[~later], more[over])), np.concatenate((votes[~later], np.ones(int(over.sum()), np.int64))), least_votes)
+            code, votes = _counted(np.concatenate((code[later], more[~over])), np.concatenate((votes[later], np.ones(int((~over).sum()), np.int64))), 0)
         enough = enough[counted >= least_votes]
-        code, votes = _counted(np.concatenate((code[later], more[~over])), np.concatenate((votes[later], np.ones(int((~over).sum()), np.int64))), 0)
         k = m
         a, b, offset = enough // room // n, enough // room % n, enough % room - pad
         yield np.minimum(a, b), np.maximum(a, b), np.where(a < b, offset, -offset)

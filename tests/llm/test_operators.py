@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from pagesim.llm import bpe, langid, linedup, lm, media, mixing, quality, queries, simhash, substring, toxicity
-from pagesim.llm.common import components
+from pagesim.llm.common import components, written
 from pagesim.llm.features import calibrated
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -610,7 +610,7 @@ def test_media_finds_what_brute_force_finds(spark):
     rng = np.random.default_rng(4)
     some = [r.embedding for r in spark.read.parquet(f"{SF}/embeddings.parquet").where("embedding is not null").orderBy("vec_id").limit(120).collect()]
     rows = [(k, list(map(float, v))) for k, v in enumerate(some)] + [(1000 + k, [float(x) for x in np.asarray(v) + rng.normal(0, 0.02, len(v))]) for k, v in enumerate(some)]
-    marked = media.with_fingerprint(queries.recordings(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))).localCheckpoint()
+    marked = written(media.with_fingerprint(queries.recordings(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))))
     prints = {r.media_id: np.array(r.fingerprint, np.int32).view(np.uint32) for r in marked.collect()}
 
     def error(x, y, offset):
@@ -645,3 +645,28 @@ def test_crc_of_ids(spark):
     got = spark.range(50).select("id", crc_mod(F.col("id"), 7).alias("m")).collect()
     assert all(r.m == zlib.crc32(str(r.id).encode()) % 7 for r in got)
     assert pd.notna(got[0].m)
+
+
+def test_media_votes_in_small_parts(monkeypatch):
+    """Parts of fewer votes than a recording has give the same offsets, each once, as a plain count."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 32, 90, dtype=np.uint32)
+    prints = [np.roll(base, k)[: 60 + k] for k in range(8)] + [np.full(70, 5, np.uint32), np.full(66, 5, np.uint32)]
+    flat, size = np.concatenate(prints), np.array([len(p) for p in prints])
+    votes = {}
+    for band in media.BANDS:
+        keys = [[tuple(p[t + k] >> band & 255 for k in (0, *media.AHEAD)) for t in range(len(p) - media.AHEAD[-1])] for p in prints]
+        for a in range(len(prints)):
+            for b in range(a + 1, len(prints)):
+                for i, x in enumerate(keys[a]):
+                    for j, y in enumerate(keys[b]):
+                        if x == y:
+                            votes[a, b, j - i] = votes.get((a, b, j - i), 0) + 1
+    want = sorted(k for k, n in votes.items() if n >= 2)
+    every, some = np.ones(len(prints), bool), np.arange(len(prints)) % 3 == 0
+    for parts in (1 << 18, 40):
+        monkeypatch.setattr(media, "VOTES", parts)
+        got = sorted(tuple(map(int, x)) for found in media._offsets(flat, size, every, every, 2) for x in zip(*found))
+        assert got == want
+        got = sorted(tuple(map(int, x)) for found in media._offsets(flat, size, some, ~some, 2) for x in zip(*found))
+        assert got == [x for x in want if some[x[0]] != some[x[1]]]
