@@ -229,8 +229,9 @@ def _gradient(net: Net, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h0: np.
     flat = de.reshape(-1, 3 * HIDDEN)
     out.u[:, : 2 * HIDDEN] = before.reshape(-1, HIDDEN).T @ flat[:, : 2 * HIDDEN]
     out.u[:, 2 * HIDDEN :] = (rs * before).reshape(-1, HIDDEN).T @ flat[:, 2 * HIDDEN :]
-    order = np.argsort(x.ravel(), kind="stable")
-    inputs = x.ravel()[order]
+    inputs = x.ravel().astype(np.min_scalar_type(len(net.e)))  # narrow numbers are sorted by their digits
+    order = np.argsort(inputs, kind="stable")
+    inputs = inputs[order]
     begins = np.flatnonzero(np.concatenate(([True], inputs[1:] != inputs[:-1])))
     out.e[:] = 0
     out.e[inputs[begins]] = np.add.reduceat(flat[order], begins, axis=0)
