@@ -195,6 +195,26 @@ def test_linedup_tells_words_of_one_short_hash_apart(spark):
     assert sorted((r.doc_id, r.text, r.n_removed, r.n_similar) for r in got) == [(k, w, 0, 0) for k, w in rows]
 
 
+@pytest.mark.parametrize("rarity_part, list_part", [(1, 1), (1000, 1000)])
+def test_linedup_estimates_change_no_result(spark, monkeypatch, rarity_part, list_part):
+    rng = random.Random(10)
+    near = [f"w{k}" for k in range(20)]
+    rows = [(k, "\n".join([" ".join([*near[: k % 19], f"x{k}", *near[k % 19 + 1 :]]), prose(rng, 12)])) for k in range(60)]
+    monkeypatch.setattr(linedup, "HEAVY", 8)
+    monkeypatch.setattr(linedup, "RARITY_PART", rarity_part)
+    monkeypatch.setattr(linedup, "LIST_PART", list_part)
+    got = linedup.dedupe_lines(spark.createDataFrame(rows, SCHEMA).withColumn("original", F.col("text"))).collect()
+    assert {(r.doc_id, r.original): (r.text, r.n_similar) for r in got} == plain_lines(rows)
+    assert sum(r.n_similar for r in got) > 50
+
+
+def test_linedup_counts_rarity_over_a_part_of_each_text(spark):
+    texts = [(k, "w " * 8000 + f"x{k}") for k in range(8)]
+    table = linedup.rarity(spark.createDataFrame(texts, SCHEMA)).first()["table"]
+    words = 2 ** ((max(table) >> 56) / 4)
+    assert len(table) == 1 << linedup.BUCKET_BITS and 6000 < words < 11000  # an eighth of 64,000
+
+
 def test_linedup_takes_odd_rows(spark, docs):
     got = linedup.dedupe_lines(docs).collect()
     assert len(got) == len(odd_rows())
