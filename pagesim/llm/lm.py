@@ -98,7 +98,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def _step(net: Net, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(new state, gates z and r, candidate) of a gated recurrent unit for inputs x."""
-    own = net.e[x]
+    own = net.e.take(x, axis=0)
     zr = _sigmoid(own[:, : 2 * HIDDEN] + h @ net.u[:, : 2 * HIDDEN])
     z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
     g = np.tanh(own[:, 2 * HIDDEN :] + (r * h) @ net.u[:, 2 * HIDDEN :])
@@ -192,7 +192,9 @@ def _gradient(net: Net, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h0: np.
     frequent, n = len(net.w), np.float32(max(1, len(real)))
     at = np.arange(len(target))
     cls = np.where(target < frequent * CLASS, target // CLASS, target - frequent * CLASS + frequent)
-    d = _shares(hs @ net.c + net.cb, n)
+    d = hs @ net.c
+    d += net.cb
+    _shares(d, n)
     d[at, cls] -= 1 / n
     out.c[:], out.cb[:] = hs.T @ d, d.sum(axis=0)
     dh_real = np.concatenate((d @ net.c.T, np.zeros((1, HIDDEN), np.float32)))
@@ -200,7 +202,9 @@ def _gradient(net: Net, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h0: np.
     places, which, groups = _side_by_side(cls, frequent)
     if len(which):
         some = np.concatenate((hs, np.zeros((1, HIDDEN), np.float32)))[places]
-        own = _shares(some @ net.w[which] + net.wb[which][:, None], n)
+        own = some @ net.w[which]
+        own += net.wb[which][:, None]
+        _shares(own, n)
         flat, kept = own.reshape(-1, CLASS), np.flatnonzero(places.ravel() >= 0)
         chosen = places.ravel()[kept]
         flat[places.ravel() < 0] = 0
