@@ -11,11 +11,13 @@ from pagesim.operators import pairs
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["block_overlap_pairs", "tfidf_cosine_pairs", "trigram_jaccard_pairs"])
+@pytest.mark.parametrize("name", ["block_overlap_pairs", "tfidf_cosine_pairs", "trigram_jaccard_pairs", "ci_gate"])
 def test_pages_are_not_copied_or_broadcast(spark, name):
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("CartesianProduct") == 1
-    assert not re.search(r"\+- Generate|BroadcastHashJoin|SortMergeJoin|ShuffledHashJoin|CoGroup", plan)
+    below = plan[plan.index("CartesianProduct") :].split("Subquery")[0]  # the common blocks are a query of their own
+    assert "Generate" not in below
+    assert not re.search("BroadcastHashJoin|SortMergeJoin|ShuffledHashJoin|CoGroup", plan)
 
 
 def plain(own, other, powers):
@@ -46,3 +48,17 @@ def test_counts_too_large_for_single_precision(spark):
     rows = [(0, [5] * 6000 + [6]), (1, [5] * 5000 + [7]), (2, [6, 7])]
     got = {(r.k1, r.k2): (r.d, r.s1, r.s2) for r in pairs.overlaps(spark.createDataFrame(rows, "k bigint, t array<bigint>"), of="t").collect()}
     assert got == {(0, 1): (30_000_000, 36_000_000, 25_000_000), (0, 2): (1, 1, 1), (1, 2): (1, 1, 1)}
+
+
+def test_hashes_and_urls_come_with_their_pairs(spark):
+    rows = [(k, f"u{k}", h, "same words", ["same words"], ["same"] if k % 2 else []) for k, h in ((7, "x"), (3, "y"), (5, "x"), (1, ""), (2, ""))]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, sha256 string, main_content string, blocks array<string>, clean_blocks array<string>")
+    common = spark.createDataFrame([("words", 5)], "block string, df bigint")
+    for block in (2, 512):
+        got = {(r.k1, r.k2): r for r in pairs.score_pairs(table, common, block=block).collect()}
+        assert len(got) == 10 and all((r.url1, r.url2) == (f"u{i}", f"u{j}") for (i, j), r in got.items())
+        assert {k for k, r in got.items() if r.sha256_match} == {(5, 7), (1, 2)}
+        assert {k for k, r in got.items() if r.tfidf_cosine_clean is not None} == {k for k in got if k[0] % 2 and k[1] % 2}
+        own = {(r.k1, r.k2) for r in pairs.score_pairs(table, ignore_empty_hash=True, block=block).collect() if r.sha256_match}
+        assert own == {(5, 7)}
+    assert "url1" not in pairs.score_pairs(table, urls=False).columns
