@@ -11,7 +11,7 @@ from pagesim.operators import pairs
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["block_overlap_pairs", "tfidf_cosine_pairs", "trigram_jaccard_pairs", "ci_gate"])
+@pytest.mark.parametrize("name", ["block_overlap_pairs", "tfidf_cosine_pairs", "trigram_jaccard_pairs", "ci_gate", "clean_view_pairs"])
 def test_pages_are_not_copied_or_broadcast(spark, name):
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("CartesianProduct") == 1
@@ -62,3 +62,5 @@ def test_hashes_and_urls_come_with_their_pairs(spark):
         own = {(r.k1, r.k2) for r in pairs.score_pairs(table, ignore_empty_hash=True, block=block).collect() if r.sha256_match}
         assert own == {(5, 7)}
     assert "url1" not in pairs.score_pairs(table, urls=False).columns
+    some = pairs.score_pairs(table, common.limit(0), raw=False, block=2)
+    assert some.count() == 10 and some.where("tfidf_cosine_clean is not null").isEmpty() and "tfidf_cosine" not in some.columns
