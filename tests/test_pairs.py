@@ -11,7 +11,7 @@ from pagesim.operators import pairs
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["block_overlap_pairs", "tfidf_cosine_pairs", "trigram_jaccard_pairs", "ci_gate", "clean_view_pairs"])
+@pytest.mark.parametrize("name", ["block_overlap_pairs", "tfidf_cosine_pairs", "trigram_jaccard_pairs", "ci_gate", "clean_view_pairs", "jaccard_prefix_pairs"])
 def test_pages_are_not_copied_or_broadcast(spark, name):
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("CartesianProduct") == 1
@@ -64,3 +64,15 @@ def test_hashes_and_urls_come_with_their_pairs(spark):
     assert "url1" not in pairs.score_pairs(table, urls=False).columns
     some = pairs.score_pairs(table, common.limit(0), raw=False, block=2)
     assert some.count() == 10 and some.where("tfidf_cosine_clean is not null").isEmpty() and "tfidf_cosine" not in some.columns
+
+
+@pytest.mark.parametrize("block", [1, 4, 100])
+@pytest.mark.parametrize("percent", [30, 70, 100])
+def test_blocks_too_unlike_in_size_do_not_meet_and_lose_no_pair(spark, block, percent):
+    rng = random.Random(percent)
+    sets = [{rng.randrange(30) for _ in range(rng.randrange(0, 40))} for _ in range(40)]
+    sets += sets[:3] + [set(range(10)), set(range(7))]  # 70 % exactly
+    feats = spark.createDataFrame([(k, sorted(x)) for k, x in enumerate(sets)], "k bigint, g array<bigint>")
+    got = {(r.k1, r.k2): (r.g, r.n_g1, r.n_g2) for r in pairs.jaccard_above(feats, percent, block).collect()}
+    want = {(i, j): (len(x & y), len(x), len(y)) for j, y in enumerate(sets) for i, x in enumerate(sets[:j]) if (x | y) and len(x & y) * 100 >= len(x | y) * percent}
+    assert got == want and want
