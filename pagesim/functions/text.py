@@ -1,14 +1,9 @@
-"""Column functions on text: white space, blocks, words, trigrams, fingerprints. All but NFKC stay in the JVM."""
+"""Column functions on text: white space, blocks, words, trigrams, fingerprints. All stay in the JVM."""
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: The 29 white-space code points of Unicode text matching, and the character ranges of CJK scripts.
 WS = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -16,15 +11,9 @@ CJK = r"\x{4E00}-\x{9FFF}\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{AC00}-\x{D7AF}"
 TOKEN = rf"[\p{{L}}\p{{N}}_{CJK}]+"
 
 
-@F.arrow_udf(T.StringType())
-def _nfkc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
-        yield pa.array((x if x is None or x.isascii() else unicodedata.normalize("NFKC", x) for x in batch.to_pylist()), pa.string())
-
-
 def nfkc(text: Column) -> Column:
-    """NFKC form; the one step that Spark has no built-in for."""
-    return _nfkc(text)
+    """NFKC form, by the ICU library that Spark comes with; no text leaves the JVM."""
+    return F.when(text.isNotNull(), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True)))
 
 
 def collapse(text: Column) -> Column:
