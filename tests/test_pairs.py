@@ -11,7 +11,7 @@ from pagesim.operators import pairs
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["block_overlap_pairs", "tfidf_cosine_pairs", "trigram_jaccard_pairs", "ci_gate", "clean_view_pairs", "jaccard_prefix_pairs", "p1_top20", "pairs_classified"])
+@pytest.mark.parametrize("name", ["block_overlap_pairs", "tfidf_cosine_pairs", "trigram_jaccard_pairs", "ci_gate", "clean_view_pairs", "jaccard_prefix_pairs", "p1_top20", "pairs_classified", "trigger_reasons"])
 def test_pages_are_not_copied_or_broadcast(spark, name):
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("CartesianProduct") == 1
