@@ -11,7 +11,7 @@ from pagesim.operators import pairs
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["block_overlap_pairs", "tfidf_cosine_pairs", "trigram_jaccard_pairs", "ci_gate", "clean_view_pairs", "jaccard_prefix_pairs", "p1_top20", "pairs_classified", "trigger_reasons", "trigger_flags", "pairs_scored", "priority_counts", "duplicate_statistics"])
+@pytest.mark.parametrize("name", ["block_overlap_pairs", "tfidf_cosine_pairs", "trigram_jaccard_pairs", "ci_gate", "clean_view_pairs", "jaccard_prefix_pairs", "p1_top20", "pairs_classified", "trigger_reasons", "trigger_flags", "pairs_scored", "priority_counts", "duplicate_statistics", "most_duplicated_top5"])
 def test_pages_are_not_copied_or_broadcast(spark, name):
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("CartesianProduct") == 1
@@ -80,5 +80,5 @@ def test_blocks_too_unlike_in_size_do_not_meet_and_lose_no_pair(spark, block, pe
 
 def test_measures_are_columns_once_for_flags(spark):
     """The square roots of the cosine stood in the plan once for each threshold that it is held against."""
-    plan = queries.QUERIES["trigger_flags", "pairs_scored", "priority_counts", "duplicate_statistics"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    plan = queries.QUERIES["trigger_flags", "pairs_scored", "priority_counts", "duplicate_statistics", "most_duplicated_top5"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.upper().count("SQRT(") <= 2
